@@ -59,6 +59,7 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: this cuts lineage and survives lost executors."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that nothing refers to
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,8 +4,7 @@ Shingles are ordered globally, rare ones first by a frequency sketch of fixed si
 same links, this one keeps shared passages out of the prefixes. Documents with equal sets are one class. Two sets that
 link share a shingle among the first n - ceil(0.8 n) + 1 of each, so that classes meet where such a shingle is equal.
 
-A meeting of g sets does not give g * g pairs. First each set meets the leaders of its lengths; links that hold make
-components. Only pairs that are then still in different components are tried, all of them, so that no link is lost.
+A meeting of g sets does not give g * g pairs. First each set meets one leader; links that hold make components. Only pairs that are then still in different components are tried, all of them, so that no link is lost.
 Tries go to the one that they share a side with: the sets are stored in a path-compressed trie in the global
 order, and one walk counts the overlap with the probe for all sets below a node, leaving a subtree as soon as the
 overlap so far plus what can remain is too small.
@@ -28,8 +27,8 @@ WORDS, PERCENT = 5, 80
 SKETCH, CHUNK = 1 << 22, 1 << 16
 #: Prefix entries for each shard; sets in a trie at a time.
 SHARD_ENTRIES, TRIE_SETS = 1_000_000, 256
-#: Rounds of the first kind: each has its own order of leaders.
-ROUNDS = 2
+#: Bits of the map that tells most documents without a try from the others before their sets are made; a join by id is exact.
+PLACES = 1 << 23
 
 
 def shingles(texts: list[bytes], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +180,12 @@ class Join:
         return common.saved(self.spark, self.docs.mapInArrow(run, "id long, n long, digest binary, prefix binary"), "sets")
 
     def meetings(self, classes: DataFrame) -> DataFrame:
-        """shingle, members (n, id by size): where at least two classes meet by a shingle of their prefixes."""
+        """shingle, members (n, id, reach by size): where at least two classes meet by a shingle of their prefixes.
+
+        reach is the number of shingles from the one at hand to the set's last. The first common shingle of two sets
+        that link has at least the needed overlap in reach of both, so that pairs with less in reach are left to others.
+        """
+        percent = self.percent
         entries = classes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
         shards = max(common.partitions(self.spark), int(entries // SHARD_ENTRIES) + 1)
 
@@ -191,84 +195,71 @@ class Join:
                 values = np.frombuffer(b"".join(blobs), "<u8")
                 times = np.array([len(b) // 8 for b in blobs], np.int64)
                 ids, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times) for i in (0, 1))
+                reach = n - (np.arange(len(values)) - np.repeat(np.cumsum(times) - times, times))
                 shard = (common.mixed(values) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else np.array([0])
                 cut = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard[order][edges[:-1]], pa.int32()), *(pa.array([x[c].astype("<u8").tobytes() for c in cut], pa.binary()) for x in (values, ids.astype(np.uint64), n.astype(np.uint64)))], ["shard", "values", "ids", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order][edges[:-1]], pa.int32()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (values, ids, n, reach))], ["shard", "values", "ids", "sizes", "reaches"])
 
         def meet(key: tuple, group: pa.Table) -> pa.Table:
-            values, ids, sizes = (np.frombuffer(b"".join(group.column(c).to_pylist()), "<u8") for c in ("values", "ids", "sizes"))
+            values, ids, sizes, reaches = (np.frombuffer(b"".join(group.column(c).to_pylist()), k) for c, k in (("values", "<u8"), ("ids", "<i8"), ("sizes", "<i8"), ("reaches", "<i8")))
             order = np.lexsort((ids, sizes, values))
-            values, ids, sizes = values[order], ids[order].astype(np.int64), sizes[order].astype(np.int64)
+            values, ids, sizes, reaches = (x[order] for x in (values, ids, sizes, reaches))
             edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
             several = np.diff(edges) > 1
             inside = np.repeat(several, np.diff(edges))
             offsets = np.concatenate([[0], np.cumsum(np.diff(edges)[several])]).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(sizes[inside]), pa.array(ids[inside])], ["n", "id"]))
+            members = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x[inside]) for x in (sizes, ids, reaches)], ["n", "id", "reach"]))
             return pa.table({"shingle": pa.array(values[edges[:-1]][several].view(np.int64)), "members": members})
 
-        dealt = classes.select("id", "n", "prefix").mapInArrow(deal, "shard int, values binary, ids binary, sizes binary")
-        met = dealt.groupBy("shard").applyInArrow(meet, "shingle long, members array<struct<n:long,id:long>>")
+        dealt = classes.select("id", "n", "prefix").mapInArrow(deal, "shard int, values binary, ids binary, sizes binary, reaches binary")
+        met = dealt.groupBy("shard").applyInArrow(meet, "shingle long, members array<struct<n:long,id:long,reach:long>>")
         return common.saved(self.spark, met, "meetings")
 
-    def stars(self, meetings: DataFrame, seed: int) -> DataFrame:
-        """Pairs (a, b) of a leader and a member of about its size. Leaders are spread over the sizes of a meeting.
+    def stars(self, meetings: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a meeting's leader and its members that may link.
 
-        Sizes are cut into runs in which all may link with the smallest; the leader of a run is the one with the least
-        hash, the same wherever the same sets meet.
+        The leader is the set that meets most often: an original meets its copies by every rare shingle that they keep,
+        while the copies meet by fewer.
         """
-        percent = self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch.column(0)
-                flat = column.flatten()
-                sizes, ids = (flat.field(x).to_numpy() for x in (0, 1))
-                offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-                order = common.mixed(ids.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
-                pairs = [np.empty((0, 2), np.int64)]
-                for a, b in zip(offsets, offsets[1:], strict=False):
-                    while b - a > 1:
-                        end = a + int(np.searchsorted(sizes[a:b], sizes[a] * 100 // percent, side="right"))
-                        if end - a > 1:
-                            leader = ids[a + int(order[a:end].argmin())]
-                            pairs.append(np.column_stack([np.full(end - a, leader), ids[a:end]]))
-                        a = end
-                both = np.unique(np.concatenate(pairs), axis=0)
-                both = both[both[:, 0] != both[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        return meetings.select("members").mapInArrow(run, "a long, b long").distinct()
+        rows = meetings.select("shingle", F.explode("members").alias("m")).select("shingle", "m.*")
+        often = rows.groupBy("id").agg(F.count("*").alias("often"))
+        rows = rows.join(often, "id")
+        leaders = rows.groupBy("shingle").agg(F.max(F.struct("often", F.bitwise_not("id").alias("first"), "n", "reach")).alias("a"))
+        pairs = rows.join(leaders, "shingle").filter(f"least(reach, a.reach) * {100 + self.percent} >= (n + a.n) * {self.percent}")
+        return pairs.select(F.bitwise_not("a.first").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
 
     def rest(self, meetings: DataFrame, parts: DataFrame) -> DataFrame:
-        """All pairs (a, b) that meet, may link by their sizes, and are in different components so far."""
+        """All pairs (a, b) that meet, may link by sizes and reaches, and are in different components so far."""
         percent = self.percent
-        rows = meetings.select("shingle", F.explode("members").alias("m")).select("shingle", "m.n", "m.id")
+        rows = meetings.select("shingle", F.explode("members").alias("m")).select("shingle", "m.*")
         rows = rows.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle")
-        rows = rows.join(mixed, "shingle").repartition("shingle").sortWithinPartitions("shingle", "n", "id").select("shingle", "n", "id", "component")
+        rows = rows.join(mixed, "shingle").repartition("shingle").sortWithinPartitions("shingle", "n", "id").select("shingle", "n", "reach", "component", "id")
+
+        def between(x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+            """x and y: rows of n, reach, component, id."""
+            ok = (np.minimum(x[:, 1, None], y[:, 1]) >= needed(x[:, 0, None], y[:, 0], percent)) & (x[:, 2, None] != y[:, 2])
+            i, j = np.nonzero(np.triu(ok, 1) if same else ok)
+            return np.sort(np.column_stack([x[i, 3], y[j, 3]]), axis=1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Streams ordered rows; what is held is the members in reach of the row at hand by size."""
-            shingle, held = None, []
-            out: list[tuple[int, int]] = []
+            """Streams ordered rows; what is held of a meeting is the members in reach by size, tried in blocks."""
+            shingle, held = None, np.empty((0, 4), np.int64)
             for batch in batches:
-                for s, n, i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    if s != shingle:
-                        shingle, held = s, []
-                    if held and 100 * held[0][0] < percent * n:
-                        held = [h for h in held if 100 * h[0] >= percent * n]
-                    out += [(min(i, j), max(i, j)) for _, j, d in held if d != c]
-                    held.append((n, i, c))
-                    if len(out) > 100_000:
-                        yield made(out)
-                        out = []
-            yield made(out)
-
-        def made(out: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                keys, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                own = np.column_stack(columns)
+                edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
+                pairs = [np.empty((0, 2), np.int64)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    now = own[a:b]
+                    held = held[100 * held[:, 0] >= percent * now[0, 0]] if keys[a] == shingle else held[:0]
+                    pairs += [between(now, held[i : i + 4096], False) for i in range(0, len(held), 4096)]
+                    pairs.append(between(now, now, True))
+                    shingle, held = keys[a], np.concatenate([held, now]) if len(held) else now
+                both = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -278,7 +269,12 @@ class Join:
         pairs = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"), "b")
         roles = pairs.union(pairs.select("a", "salt", F.col("a").alias("b")).distinct()).toDF("a", "salt", "id")
         roles = common.saved(self.spark, roles, "pairs")
-        texts = self.docs.join(roles.select("id").distinct(), "id", "left_semi")
+        place = (F.pmod(F.xxhash64("id"), F.lit(PLACES)) + 1).alias("place")
+        bits = roles.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+        texts = self.docs.select("id", "text", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bits), "bucket")
+        bit = F.bitmap_bit_position("place").cast("int")
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        texts = texts.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select("id", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, t in common.pieces(batches):
@@ -336,13 +332,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = common.saved(spark, sets.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     classes = sets.join(names.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     meetings = join.meetings(classes)
-    links = None
-    for seed in range(ROUNDS):
-        pairs = join.stars(meetings, seed)
-        if links is not None:
-            pairs = pairs.join(links.union(links.select("b", "a")), ["a", "b"], "left_anti")
-        found = join.verified(pairs)
-        links = found if links is None else links.union(found)
+    links = join.verified(join.stars(meetings))
     parts = components(spark, links)
     found = join.verified(join.rest(meetings, parts))
     if found.limit(1).count():
