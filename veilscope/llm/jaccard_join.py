@@ -27,6 +27,8 @@ WORDS, PERCENT = 5, 80
 SKETCH, CHUNK = 1 << 22, 1 << 16
 #: Prefix entries for each shard; sets in a trie at a time.
 SHARD_ENTRIES, TRIE_SETS = 1_000_000, 256
+#: Meetings of at most so many are cut to the sets that may link with another by their reaches before they are written.
+NEAR = 16
 #: Bits of the map that tells most documents without a try from the others before their sets are made; a join by id is exact.
 PLACES = 1 << 23
 
@@ -207,6 +209,13 @@ class Join:
             order = np.lexsort((ids, sizes, values))
             values, ids, sizes, reaches = (x[order] for x in (values, ids, sizes, reaches))
             edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+            live = np.repeat(np.diff(edges) > NEAR, np.diff(edges))  # smaller meetings keep who may link with another
+            for d in range(1, NEAR):
+                ok = (values[d:] == values[:-d]) & (np.minimum(reaches[d:], reaches[:-d]) >= needed(sizes[d:], sizes[:-d], percent))
+                live[d:] |= ok
+                live[:-d] |= ok
+            values, ids, sizes, reaches = (x[live] for x in (values, ids, sizes, reaches))
+            edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
             several = np.diff(edges) > 1
             inside = np.repeat(several, np.diff(edges))
             offsets = np.concatenate([[0], np.cumsum(np.diff(edges)[several])]).astype(np.int32)
