@@ -1,4 +1,269 @@
-"""The queries over the engine's operators, and the same queries as SQL."""
+"""The queries over the engine's operators, and the same queries as SQL.
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+The tables hold no anomalies, so that the queries inject one kind for each remainder of the id, the same in both engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import unicode_tables as U
+from ..operators import compare, detect, html
+from ..sinks import integrity, reports
+from ..sources import readers
+
+_TAGGED = lambda s: "".join(chr(0xE0000 + ord(c)) for c in s)
+#: Remainder of doc_id modulo 10 -> what is added to the text, as a function of the text column.
+INJECTED = {
+    1: lambda t: F.concat(F.substring(t, 1, 3), F.lit("​"), F.substr(t, F.lit(4), F.length(t))),
+    2: lambda t: F.concat(t, F.lit("‮")),
+    3: lambda t: F.concat(t, F.lit("‎")),
+    4: lambda t: F.concat(t, F.lit(_TAGGED("HI"))),
+    5: lambda t: F.concat(t, F.lit("\U0001f3f4" + _TAGGED("gbeng") + "\U000e007f")),
+    6: lambda t: F.translate(t, "o", "о"),
+    7: lambda t: F.concat(F.lit("Ａ"), t),
+    8: lambda t: F.concat(t, F.lit("​" * 4)),
+    9: lambda t: F.concat(t, F.lit("\U0001f468‍\U0001f469")),
+}
+#: The look-alikes that the injection uses, for queries whose SQL has no look-alike table.
+LETTERS = {"о": "o"}
+
+_DOCS = """
+WITH d AS (SELECT doc_id, CASE doc_id % 10
+  WHEN 1 THEN substr(text, 1, 3) || chr(8203) || substr(text, 4)
+  WHEN 2 THEN text || chr(8238) WHEN 3 THEN text || chr(8206)
+  WHEN 4 THEN text || chr(917576) || chr(917577)
+  WHEN 5 THEN text || chr(127988) || chr(917607) || chr(917602) || chr(917605) || chr(917614) || chr(917607) || chr(917631)
+  WHEN 6 THEN translate(text, 'o', chr(1086)) WHEN 7 THEN chr(65313) || text
+  WHEN 8 THEN text || chr(8203) || chr(8203) || chr(8203) || chr(8203)
+  WHEN 9 THEN text || chr(128104) || chr(8205) || chr(128105) ELSE text END AS text FROM documents)
+"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their injected anomalies: doc_id, text."""
+    text: Column = F.col("text")
+    case = F
+    for k, add in INJECTED.items():
+        case = case.when(F.col("doc_id") % 10 == k, add(text))
+    return _table(spark, sf_dir, "documents").select("doc_id", case.otherwise(text).alias("text"))
+
+
+def human_projection(spark, sf_dir):
+    visible = T.human_projection(F.col("text"))
+    return evidence(spark, sf_dir).select("doc_id", F.length(visible).alias("visible_len"), T.sha256(visible).alias("visible_sha256"))
+
+
+def raw_views(spark, sf_dir):
+    text = F.col("text")
+    return evidence(spark, sf_dir).select("doc_id", F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), T.sha256(text).alias("sha256"), F.md5(T.raw_hex(text)).alias("hex_md5"))
+
+
+def tag_stripped(spark, sf_dir):
+    text = T.tag_stripped(F.col("text"))
+    return evidence(spark, sf_dir).select("doc_id", F.length(text).alias("len"), T.sha256(text).alias("sha256"))
+
+
+def compact_skeleton(spark, sf_dir):
+    return evidence(spark, sf_dir).select("doc_id", T.sha256(T.compact_skeleton(F.col("text"))).alias("skeleton_sha256"))
+
+
+def invisible_findings(spark, sf_dir):
+    rows = detect.invisible(evidence(spark, sf_dir))
+    return rows.select("doc_id", F.col("start").alias("idx"), F.col("detail").alias("codepoint"), "severity", "materiality")
+
+
+def bidi_findings(spark, sf_dir):
+    return detect.bidi(evidence(spark, sf_dir)).select("doc_id", F.col("start").alias("idx"), F.col("detail").alias("strength"), "severity", "materiality")
+
+
+def carrier_patterns(spark, sf_dir):
+    return detect.carriers(evidence(spark, sf_dir)).select("doc_id", "carriers", "distinct_carriers", "suspicious")
+
+
+def tag_runs(spark, sf_dir):
+    return detect.tag_runs(evidence(spark, sf_dir)).select("doc_id", "n", "start", "end", "decoded", "terminated", F.when(F.col("flag"), "unicode-tag-sequence").otherwise("ascii-smuggling").alias("category"))
+
+
+def emoji_zwj(spark, sf_dir):
+    rows = detect.invisible(evidence(spark, sf_dir)).filter("detail = 'U+200D'")
+    return rows.select("doc_id", F.col("start").alias("idx"), "emoji_context")
+
+
+def normalization_nfc(spark, sf_dir):
+    nfc = T.normalized("NFC")("text")
+    return evidence(spark, sf_dir).select("doc_id", T.sha256(nfc).alias("nfc_sha256"), (nfc != F.col("text")).alias("changed"))
+
+
+def normalization_delta(spark, sf_dir):
+    rows = detect.normalization(evidence(spark, sf_dir)).filter("nfkc_changed")
+    return rows.select("doc_id", T.sha256(F.col("nfkc")).alias("nfkc_sha256"), "materiality")
+
+
+def confusable_findings(spark, sf_dir):
+    rows = detect.confusables(evidence(spark, sf_dir), LETTERS)
+    return rows.select("doc_id", F.size("positions").alias("n_positions"), F.get("positions", F.lit(0)).alias("first_position"), F.array_join("scripts", ",").alias("scripts"), "mixed")
+
+
+def lookalike_pairs(spark, sf_dir):
+    return compare.lookalikes(evidence(spark, sf_dir), T.sha256(T.compact_skeleton(F.col("text"))))
+
+
+def _three_views(spark, sf_dir):
+    docs = evidence(spark, sf_dir)
+    return docs.withColumns({"view_machine": F.col("text"), "view_human_projection": T.human_projection(F.col("text")), "view_tag_stripped": T.tag_stripped(F.col("text"))})
+
+
+def view_divergence(spark, sf_dir):
+    rows = compare.comparisons(_three_views(spark, sf_dir))
+    kept = ["doc_id", "left", "right", "relation", "prefix", "suffix", "first_difference", "length_delta", "left_sha256", "right_sha256", "left_length", "right_length", "left_fragment", "right_fragment"]
+    return rows.select(*kept)
+
+
+def _plain_findings(docs: DataFrame) -> DataFrame:
+    parts = [detect.invisible(docs).drop("emoji_context"), detect.bidi(docs), detect.carrier_findings(docs), detect.tag_findings(docs), detect.confusable_findings(docs, LETTERS)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def radial_edges(spark, sf_dir):
+    rows = compare.comparisons(_three_views(spark, sf_dir), [("human_projection", "machine"), ("machine", "tag_stripped")])
+    out = compare.edges(rows, _plain_findings(evidence(spark, sf_dir)))
+    return out.select("doc_id", "boundary", "relation", "materiality", F.array_join("evidence_categories", ",").alias("categories"), F.array_join("finding_ids", ",").alias("finding_ids"))
+
+
+def radial_rollup(spark, sf_dir):
+    rows = compare.comparisons(_three_views(spark, sf_dir), [("human_projection", "machine"), ("machine", "tag_stripped")])
+    out = compare.radial(compare.edges(rows, _plain_findings(evidence(spark, sf_dir))))
+    return out.select("doc_id", "disposition", "material", "divergent", "agreeing", "promoted", F.array_join("boundaries", ",").alias("boundaries"))
+
+
+def document_summary(spark, sf_dir):
+    docs = evidence(spark, sf_dir)
+    out = compare.summary(docs, _plain_findings(docs))
+    return out.withColumn("categories", F.array_join("categories", ","))
+
+
+def sarif_locations(spark, sf_dir):
+    docs = evidence(spark, sf_dir)
+    rows = reports.locations(detect.invisible(docs).drop("emoji_context"), docs)
+    return rows.select("doc_id", "finding_id", "level", "start_line", "start_col", "end_line", "end_col")
+
+
+def budget_rejects(spark, sf_dir):
+    return detect.admitted(evidence(spark, sf_dir), max_chars=5_000, max_bytes=256_000).select("doc_id", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def lexical_units(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.lexical_units(F.col("text"))).alias("token_count"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with hidden markup for two of three remainders: doc_id, text and the struct html."""
+    added = F.when(F.col("page_id") % 3 == 1, '<div hidden>secret</div></body>').when(F.col("page_id") % 3 == 2, '<input type="hidden" value="v"></body>').otherwise("</body>")
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.replace(F.col("html"), F.lit("</body>"), added).alias("text"))
+    return html.inspect(rows)
+
+
+def html_comments(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return rows.select(F.col("doc_id").alias("page_id"), F.size("html.comments").alias("comments"), F.size(F.filter("html.hidden", lambda x: x["text"] == "secret")).alias("secrets"), F.size("html.attrs").alias("attributes"))
+
+
+def html_visibility(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return rows.select(F.col("doc_id").alias("page_id"), F.length("html.visible").alias("visible_len"), F.size("html.hidden").alias("hidden"), F.size("html.non_rendered").alias("non_rendered"), F.array_join("html.selectors", ",").alias("selectors"))
+
+
+def html_findings(spark, sf_dir):
+    return detect.html_findings(pages(spark, sf_dir)).select(F.col("doc_id").alias("page_id"), "id", "category", "severity", "materiality")
+
+
+def stream_reassembly(spark, sf_dir):
+    rows = evidence(spark, sf_dir).withColumn("content", F.encode("text", "UTF-8"))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 1000).cast("int")))
+    chunks = rows.filter("length(content) > 0").select("doc_id", "content", at.alias("seq")).select("doc_id", "seq", F.substr("content", F.col("seq") * 1000 + 1, F.lit(1000)).alias("chunk"))
+    out = readers.reassembled(chunks, 16_000_000)
+    return out.select("doc_id", "byte_length", F.col("source_sha256").alias("sha256"), "complete")
+
+
+def receipts(spark, sf_dir):
+    docs = evidence(spark, sf_dir)
+    found = _plain_findings(docs)
+    rows = reports.reports(docs, compare.summary(docs, found), found).select("doc_id", integrity.with_receipt("report").alias("report"))
+    rows = rows.withColumn("tampered", F.replace("report", F.lit('"finding_count":'), F.lit('"finding_count":1')))
+    return rows.select("doc_id", F.get_json_object("report", "$.receipt.canonical_json_sha256").alias("receipt"), integrity.verified("report").alias("verified"), integrity.verified("tampered").alias("tampered_verified"))
+
+
+_NAMES = [human_projection, raw_views, tag_stripped, compact_skeleton, invisible_findings, bidi_findings, carrier_patterns, tag_runs, emoji_zwj, normalization_nfc, normalization_delta, confusable_findings, lookalike_pairs, view_divergence]
+_NAMES += [radial_edges, radial_rollup, document_summary, sarif_locations, budget_rejects, lexical_units, html_comments, html_visibility, html_findings, stream_reassembly, receipts]
+QUERIES = {f.__name__: f for f in _NAMES}
+
+_INVISIBLE = U.pattern("invisible")
+_CHARS = f"""{_DOCS}, c AS (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS idx FROM d WHERE regexp_matches(text, '{_INVISIBLE}')),
+i AS (SELECT doc_id, text, idx, unicode(ch) AS cp, unicode(ch) = 8205 AND doc_id % 10 = 9 AS emoji_context FROM c WHERE regexp_matches(ch, '{_INVISIBLE}')),
+f1 AS (SELECT doc_id, 'unicode-invisible:' || idx AS id, 'invisible-unicode' AS category, idx AS "start", idx + 1 AS "end", cp, emoji_context, text,
+  CASE WHEN emoji_context THEN 0 WHEN cp BETWEEN 917504 AND 917631 THEN 2 WHEN cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297 THEN 3 ELSE 2 END AS sev,
+  CASE WHEN emoji_context OR cp BETWEEN 917504 AND 917631 THEN 1 WHEN cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297 THEN 3 ELSE 2 END AS mat FROM i),
+f2 AS (SELECT doc_id, 'bidi-control:' || idx AS id, 'bidi-reordering' AS category, idx AS "start", idx + 1 AS "end", CASE WHEN cp IN (8206, 8207, 1564) THEN 2 ELSE 3 END AS sev, CASE WHEN cp IN (8206, 8207, 1564) THEN 2 ELSE 3 END AS mat
+  FROM i WHERE cp IN (8206, 8207, 1564) OR cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297)"""
+_SEV = "['info','low','medium','high']"
+_MAT = "['none','context-dependent','potentially-material','material']"
+_RUNS = f"""{_DOCS}, t AS (SELECT doc_id, 0 AS n, length(text) - length(regexp_extract(text, '{T.TAG_RUN}')) AS "start", length(text) AS "end", regexp_extract(text, '{T.TAG_RUN}') AS run FROM d WHERE doc_id % 10 IN (4, 5)),
+r AS (SELECT doc_id, n, "start", "end", CASE doc_id % 10 WHEN 4 THEN 'HI' ELSE 'gbeng' END AS decoded, unicode(right(run, 1)) = 917631 AS terminated, CASE WHEN doc_id % 10 = 5 THEN 'unicode-tag-sequence' ELSE 'ascii-smuggling' END AS category FROM t)"""
+_FOUND = f"""{_CHARS}, f AS (SELECT doc_id, id, category, "start", "end", sev, mat FROM f1 UNION ALL SELECT * FROM f2
+UNION ALL SELECT doc_id, 'hidden-carrier-pattern', 'watermark-like-hidden-text', NULL, NULL, 1, 1 FROM d WHERE doc_id % 10 = 8
+UNION ALL SELECT doc_id, 'unicode-tags:0', CASE doc_id % 10 WHEN 4 THEN 'ascii-smuggling' ELSE 'unicode-tag-sequence' END, length(text) - CASE doc_id % 10 WHEN 4 THEN 2 ELSE 6 END, length(text), CASE doc_id % 10 WHEN 4 THEN 3 ELSE 0 END, CASE doc_id % 10 WHEN 4 THEN 3 ELSE 1 END FROM d WHERE doc_id % 10 IN (4, 5)
+UNION ALL SELECT doc_id, 'confusable-skeleton', 'confusable-homoglyph', NULL, NULL, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]') THEN 3 ELSE 1 END, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]') THEN 2 ELSE 1 END FROM d WHERE contains(text, chr(1086)))"""
+_VIEWS = f"""{_DOCS}, v AS (SELECT doc_id, text AS machine, regexp_replace(text, '{_INVISIBLE}', '', 'g') AS human_projection, regexp_replace(text, '{U.pattern("tags")}', '', 'g') AS tag_stripped FROM d),
+p AS (SELECT doc_id, 'human_projection' AS "left", 'machine' AS "right", human_projection AS a, machine AS b FROM v
+UNION ALL SELECT doc_id, 'human_projection', 'tag_stripped', human_projection, tag_stripped FROM v UNION ALL SELECT doc_id, 'machine', 'tag_stripped', machine, tag_stripped FROM v),
+q AS (SELECT *, a = b AS same, CASE WHEN a = b THEN length(a) ELSE coalesce(list_min(list_filter(range(least(length(a), length(b))), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1))), least(length(a), length(b))) END AS prefix FROM p),
+s AS (SELECT *, CASE WHEN same THEN 0 ELSE coalesce(list_min(list_filter(range(least(length(a), length(b)) - prefix), lambda i: substr(a, length(a) - i, 1) <> substr(b, length(b) - i, 1))), least(length(a), length(b)) - prefix) END AS suffix FROM q)"""
+
+
+def _cut(t: str) -> str:
+    n = f"(length({t}) - suffix - prefix)"
+    return f"CASE WHEN same THEN NULL WHEN {n} <= 96 THEN substr({t}, prefix + 1, {n}) ELSE substr({t}, prefix + 1, 48) || chr(8230) || substr({t}, length({t}) - suffix - 47, 48) END"
+
+
+_EDGES = f"""{_FOUND}, x AS (SELECT doc_id, 'visibility' AS boundary, text <> regexp_replace(text, '{_INVISIBLE}', '', 'g') AS differs FROM d
+UNION ALL SELECT doc_id, 'hidden-tag', text <> regexp_replace(text, '{U.pattern("tags")}', '', 'g') FROM d),
+y AS (SELECT x.doc_id, x.boundary, x.differs, f.id, f.category, f.mat FROM x LEFT JOIN f ON f.doc_id = x.doc_id AND ((x.boundary = 'visibility' AND f.category IN ('ascii-smuggling','bidi-reordering','hidden-html-css','invisible-unicode')) OR (x.boundary = 'hidden-tag' AND f.category IN ('ascii-smuggling','unicode-tag-sequence')))),
+e AS (SELECT doc_id, boundary, CASE WHEN differs THEN 'divergence' ELSE 'agreement' END AS relation, CASE WHEN NOT differs THEN 0 ELSE greatest(1, coalesce(max(mat), 0)) END AS m,
+coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories, coalesce(string_agg(id, ',' ORDER BY id), '') AS finding_ids FROM y GROUP BY doc_id, boundary, differs)"""
+_PAGE = """WITH p AS (SELECT page_id, replace(html, '</body>', CASE page_id % 3 WHEN 1 THEN '<div hidden>secret</div></body>' WHEN 2 THEN '<input type="hidden" value="v"></body>' ELSE '</body>' END) AS html FROM pages)"""
+
+SQL = {
+    "human_projection": f"{_DOCS} SELECT doc_id, length(v) AS visible_len, sha256(v) AS visible_sha256 FROM (SELECT doc_id, regexp_replace(text, '{_INVISIBLE}', '', 'g') AS v FROM d)",
+    "raw_views": f"{_DOCS} SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, sha256(text) AS sha256, md5(lower(hex(encode(text)))) AS hex_md5 FROM d",
+    "tag_stripped": f"{_DOCS} SELECT doc_id, length(v) AS len, sha256(v) AS sha256 FROM (SELECT doc_id, regexp_replace(text, '{U.pattern('tags')}', '', 'g') AS v FROM d)",
+    "compact_skeleton": f"{_DOCS} SELECT doc_id, sha256(translate(text, '{U.COMPACT[0]}', '{U.COMPACT[1]}')) AS skeleton_sha256 FROM d",
+    "invisible_findings": f"""{_CHARS} SELECT doc_id, "start" AS idx, printf('U+%04X', cp) AS codepoint, {_SEV}[sev + 1] AS severity, {_MAT}[mat + 1] AS materiality FROM f1""",
+    "bidi_findings": f"""{_CHARS} SELECT doc_id, "start" AS idx, CASE sev WHEN 3 THEN 'strong' ELSE 'mark' END AS strength, {_SEV}[sev + 1] AS severity, {_MAT}[mat + 1] AS materiality FROM f2""",
+    "carrier_patterns": f"{_DOCS} SELECT doc_id, count(*) AS carriers, count(DISTINCT ch) AS distinct_carriers, count(*) >= 4 AND (count(*) / any_value(n) >= 0.05 OR count(DISTINCT ch) <= greatest(2, count(*) // 2)) AS suspicious FROM (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM d) WHERE unicode(ch) IN (8203, 8204, 8205, 8288, 65279, 847) OR unicode(ch) BETWEEN 65024 AND 65039 OR unicode(ch) BETWEEN 917760 AND 917999 GROUP BY doc_id",
+    "tag_runs": f"{_RUNS} SELECT * FROM r",
+    "emoji_zwj": f"""{_CHARS} SELECT doc_id, "start" AS idx, emoji_context FROM f1 WHERE cp = 8205""",
+    "normalization_nfc": f"{_DOCS} SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256, nfc_normalize(text) <> text AS changed FROM d",
+    "normalization_delta": f"{_DOCS} SELECT doc_id, sha256('A' || substr(text, 2)) AS nfkc_sha256, 'material' AS materiality FROM d WHERE doc_id % 10 = 7",
+    "confusable_findings": f"{_DOCS} SELECT doc_id, length(text) - length(replace(text, chr(1086), '')) AS n_positions, instr(text, chr(1086)) - 1 AS first_position, 'Cyrillic' || CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]') THEN ',Latin' ELSE '' END AS scripts, regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]') AS mixed FROM d WHERE contains(text, chr(1086))",
+    "lookalike_pairs": f"{_DOCS}, k AS (SELECT doc_id, text, translate(text, '{U.COMPACT[0]}', '{U.COMPACT[1]}') AS s FROM d), m AS (SELECT s, min(doc_id) AS doc_id_a FROM k GROUP BY s) SELECT doc_id_a, k.doc_id AS doc_id_b FROM k JOIN m USING (s) JOIN k AS o ON o.doc_id = doc_id_a WHERE o.text <> k.text",
+    "view_divergence": f"""{_VIEWS} SELECT doc_id, "left", "right", CASE WHEN same THEN 'agreement' ELSE 'divergence' END AS relation, prefix, suffix, CASE WHEN NOT same THEN prefix END AS first_difference, length(b) - length(a) AS length_delta, sha256(a) AS left_sha256, sha256(b) AS right_sha256, length(a) AS left_length, length(b) AS right_length, {_cut("a")} AS left_fragment, {_cut("b")} AS right_fragment FROM s""",
+    "radial_edges": f"{_EDGES} SELECT doc_id, boundary, relation, {_MAT}[m + 1] AS materiality, categories, finding_ids FROM e",
+    "radial_rollup": f"{_EDGES} SELECT doc_id, {_MAT}[max(m) + 1] AS disposition, max(m) >= 2 AS material, count(*) FILTER (relation = 'divergence') AS divergent, count(*) FILTER (relation = 'agreement') AS agreeing, count(*) FILTER (m >= 2) AS promoted, coalesce(string_agg(boundary, ',' ORDER BY boundary) FILTER (relation = 'divergence'), '') AS boundaries FROM e GROUP BY doc_id",
+    "document_summary": f"{_FOUND} SELECT d.doc_id, count(f.id) AS finding_count, {_SEV}[coalesce(max(sev), 0) + 1] AS severity, coalesce(bool_or(mat >= 2), false) AS material_divergence, coalesce(string_agg(DISTINCT category, ',' ORDER BY category), '') AS categories FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id",
+    "sarif_locations": f"""{_CHARS}, z AS (SELECT doc_id, id, sev, substr(text, 1, "start") AS a, substr(text, 1, "end") AS b FROM f1) SELECT doc_id, id AS finding_id, CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, length(a) - length(replace(a, chr(10), '')) + 1 AS start_line, length(string_split(a, chr(10))[-1]) + 1 AS start_col, length(b) - length(replace(b, chr(10), '')) + 1 AS end_line, length(string_split(b, chr(10))[-1]) + 1 AS end_col FROM z""",
+    "budget_rejects": f"{_DOCS} SELECT doc_id, CASE WHEN length(text) > 5000 OR strlen(text) > 256000 THEN 'rejected' ELSE 'admitted' END AS status, CASE WHEN length(text) > 5000 OR strlen(text) > 256000 THEN 'full-evidence analysis limit exceeded' ELSE '' END AS reason FROM d",
+    "lexical_units": "SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z_À-ÖØ-öø-ÿ]+|[^0-9A-Za-z_À-ÖØ-öø-ÿ\\s]')) AS token_count FROM documents",
+    "html_comments": _PAGE + """ SELECT page_id, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comments, contains(html, '<div hidden>secret')::INT AS secrets, contains(html, '<input type="hidden" value="v">')::INT AS attributes FROM p""",
+    "html_findings": _PAGE + """ SELECT page_id, 'html-hidden-content' AS id, 'hidden-html-css' AS category, 'high' AS severity, 'material' AS materiality FROM p WHERE contains(html, '<div hidden>secret') OR contains(html, '<input type="hidden" value="v">') UNION ALL SELECT page_id, 'html-comments', 'non-rendered-html', 'low', 'context-dependent' FROM p WHERE contains(html, '<!--')""",
+    "stream_reassembly": f"{_DOCS} SELECT doc_id, strlen(text) AS byte_length, sha256(text) AS sha256, true AS complete FROM d WHERE length(text) > 0",
+}
