@@ -43,6 +43,7 @@ class Counter(dict):
         vocabulary, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in file["added_tokens"]) or r"(?!)")
         self.piece = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pieces: dict[str, int] = {}
         letters = byte_letters()
         self.inner = [vocabulary[x] for x in letters]
         self.last = [vocabulary[x + self.end] for x in letters]
@@ -52,6 +53,7 @@ class Counter(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
+            self.pieces.clear()
         n = self[word] = self.text(word.decode("utf-8", "replace"))
         return n
 
@@ -65,7 +67,12 @@ class Counter(dict):
     def plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters fold one by one
-        return sum(self.merged(p.encode()) for p in self.piece.findall(text.lower()))
+        total = 0
+        for p in self.piece.findall(text.lower()):
+            if (n := self.pieces.get(p)) is None:
+                n = self.pieces[p] = self.merged(p.encode())
+            total += n
+        return total
 
     def merged(self, piece: bytes) -> int:
         n = len(piece)
