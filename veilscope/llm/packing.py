@@ -9,6 +9,7 @@ get their ranks from counts by length and salt, and look up their place without
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -17,16 +18,20 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .token_counts import byte_letters
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
 #: Parts into which the rows of one length are dealt for ranking; the driver gets at most CAPACITY * SALTS counts.
 SALTS = 64
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+#: Words that are pieces as they stand: letters, then marks.
+_PLAIN = regex.compile(r"(\p{L}*)([.,;:!?|]*)")
 
 
 class Ids(dict):
@@ -38,16 +43,31 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.runs, self.letters = self.tokenizer.model, {}, byte_letters()
 
-    def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The tokenizer joins nothing across white space, so that words are encoded once and joined."""
-        split = [t.split() for t in texts]
+    def run(self, run: str) -> bytes:
+        """Ids of a run of small letters, or of marks: such a run is one piece for the model, byte by byte."""
+        if (got := self.runs.get(run)) is None:
+            mapped = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+            got = self.runs[run] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return got
+
+    def __missing__(self, word: bytes) -> bytes:
+        """The tokenizer joins nothing across white space, so that words are encoded once. Plain ones go to its model."""
         if len(self) > REMEMBERED:
             self.clear()
-        new = list({w for own in split for w in own if w not in self})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return (b"".join(map(self.__getitem__, own)) for own in split)
+            self.runs.clear()
+        text = word.decode("utf-8", "replace")
+        same = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if plain := _PLAIN.fullmatch(same.lower()):
+            got = b"".join(self.run(x) for x in plain.groups() if x)
+        else:
+            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
+        return got
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        return (b"".join(map(self.__getitem__, t.split())) for t in texts)
 
 
 @lru_cache(1)
