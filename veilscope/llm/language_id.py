@@ -24,7 +24,7 @@ LEVEL = 9
 #: Bytes between the best and the second language that count as one unit of evidence.
 UNIT = 4.0
 #: A document is rejected if the score, the softmax of the sizes, is below this.
-MARGIN = 0.45
+MARGIN = 0.36
 _OTHER = re.compile(r"[\W\d_]+")
 _MADE: dict[tuple, list] = {}
 
