@@ -149,6 +149,18 @@ def test_trie_walk():
         assert set(trie.linked(probe)) == want
 
 
+def test_parities():
+    rng = np.random.default_rng(3)
+    for n, m in product((0, 1, 63, 64, 65, 300, 1000), repeat=2):
+        x, y = (np.unique(rng.integers(0, 1 << 62, k)).astype(np.uint64) for k in (n, m))
+        y = np.union1d(y, x[: n // 2])
+        only = len(np.setxor1d(x, y))
+        assert jaccard_join.apart(jaccard_join.parities(x), jaccard_join.parities(y)) <= only
+        assert jaccard_join.apart(jaccard_join.parities(x), jaccard_join.parities(x)) == 0
+    far = np.unique(rng.integers(0, 1 << 62, 1000)).astype(np.uint64)  # half of 1,024 places differ, about
+    assert jaccard_join.apart(jaccard_join.parities(x), jaccard_join.parities(far)) > 450
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 200)] + [(300, i) for i in range(301, 340)]
     rows = {r["id"]: r["component"] for r in jaccard_join.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,8 +4,11 @@ Shingles are ordered globally, rare ones first by a frequency sketch of fixed si
 same links, this one keeps shared passages out of the prefixes. Documents with equal sets are one class. Two sets that
 link share a shingle among the first n - ceil(0.8 n) + 1 of each, so that classes meet where such a shingle is equal.
 
-A meeting of g sets does not give g * g pairs. First each set meets one leader; links that hold make components. Only pairs that are then still in different components are tried, all of them, so that no link is lost.
-Tries go to the one that they share a side with: the sets are stored in a path-compressed trie in the global
+A meeting of g sets does not give g * g pairs. First each set meets one leader; links that hold make components. Only
+pairs that are then still in different components are tried, all of them, so that no link is lost. Before any text moves
+a pair is weighed by its sets' parities: one bit for each place, set where an odd number of shingles fall. Parities that
+differ in more places than linked sets may differ in shingles rule a link out; about one bit a shingle rules out nearly
+all pairs that share a passage only. Tries go to the one that they share a side with: the sets are stored in a path-compressed trie in the global
 order, and one walk counts the overlap with the probe for all sets below a node, leaving a subtree as soon as the
 overlap so far plus what can remain is too small.
 """
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ SHARD_ENTRIES, TRIE_SETS = 1_000_000, 256
 NEAR = 16
 #: Bits of the map that tells most documents without a try from the others before their sets are made; a join by id is exact.
 PLACES = 1 << 23
+#: The fewest places of a set's parities.
+LEAST = 64
 
 
 def shingles(texts: list[bytes], k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,17 +75,17 @@ def sketch(spark: SparkSession, texts: DataFrame, size: int = SKETCH) -> np.ndar
             at, n = np.unique(shingles(t)[0] % np.uint64(size), return_counts=True)
             total[at] += n.astype(np.uint32)
         for c in range(0, size, CHUNK):
-            at = np.flatnonzero(part := total[c : c + CHUNK])
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([part[at].astype("<u4").tobytes()], pa.binary())], ["chunk", "place", "n"])
+            if (part := total[c : c + CHUNK]).any():  # byte by byte of the counters, which are mostly small
+                blob = zstandard.compress(part.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "n"])
 
     def add(key: tuple, group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.uint64)
-        for place, n in zip(group.column("place").to_pylist(), group.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(place, "<u2")] += np.frombuffer(n, "<u4")
+        total = np.zeros(min(CHUNK, size), np.uint64)
+        for blob in group.column("n").to_pylist():
+            total += np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
-    parts = texts.mapInArrow(run, "chunk int, place binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
+    parts = texts.mapInArrow(run, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
     out = np.zeros(size, np.uint8)
     for r in parts.toLocalIterator():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["level"], np.uint8)
@@ -96,6 +102,21 @@ def needed(a: np.ndarray, b: int, percent: int = PERCENT) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def parities(values: np.ndarray) -> bytes:
+    """A bit for each place of a power of two, at least as many as shingles: whether an odd number of them fall there."""
+    places = max(LEAST, 1 << (len(values) - 1).bit_length() if len(values) else 0)
+    return np.packbits(np.bincount((values & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their parities."""
+    while len(x) != len(y):  # twice the places: the halves fall together
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
 class Trie:
     """Sets in the global order, sorted, with the runs that neighbours share stored and walked once."""
 
@@ -168,7 +189,7 @@ class Join:
         self.levels = self.spark.sparkContext.broadcast(sketch(self.spark, self.docs.select("text")))  # SKETCH bytes
 
     def sets(self) -> DataFrame:
-        """id, n, digest of the set and the prefix in the global order, one row for each document; written once."""
+        """id, n, digest and parities of the set, and the prefix in the global order, one row for each document; written once."""
         levels, percent = self.levels, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +197,21 @@ class Join:
                 values, counts = shingles(texts)
                 edges, sorted_ = common.bounds(counts), ordered(values, counts, levels.value)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
+                signs = [parities(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 prefixes = [sorted_[a : a + n - -(-percent * n // 100) + 1 if n else a].tobytes() for a, n in zip(edges[:-1], counts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], ["id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(prefixes, pa.binary())], ["id", "n", "digest", "parities", "prefix"])
 
-        return common.saved(self.spark, self.docs.mapInArrow(run, "id long, n long, digest binary, prefix binary"), "sets")
+        return common.saved(self.spark, self.docs.mapInArrow(run, "id long, n long, digest binary, parities binary, prefix binary"), "sets")
 
-    def meetings(self, classes: DataFrame) -> DataFrame:
+    def meetings(self, classes: DataFrame, entries: int) -> DataFrame:
         """shingle, members (n, id, reach by size): where at least two classes meet by a shingle of their prefixes.
 
+        entries is the number of prefix shingles, or more; the number of shards follows from it.
+
         reach is the number of shingles from the one at hand to the set's last. The first common shingle of two sets
         that link has at least the needed overlap in reach of both, so that pairs with less in reach are left to others.
         """
         percent = self.percent
-        entries = classes.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
         shards = max(common.partitions(self.spark), int(entries // SHARD_ENTRIES) + 1)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +295,28 @@ class Join:
 
         return rows.mapInArrow(run, "a long, b long").distinct()
 
+    def possible(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and parities allow a link; written once. sets: id, n, parities; rows that repeat an id give one pair."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                most = n + m - 2 * needed(n, m, percent)  # shingles of one side only
+                far = np.fromiter(map(apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(x[far <= most]) for x in (a, b)], ["a", "b"])
+
+        def side(name: str, *columns: str) -> DataFrame:
+            return sets.select("id", "n", "parities").toDF(name, *columns)
+
+        rows = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
+        return common.saved(self.spark, rows.mapInArrow(run, "a long, b long").distinct(), "possible")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets link. Members of a probe are dealt by salt, so that no probe's members meet in one task."""
+        """The pairs whose sets link. Members of a probe are dealt by salt, so that no probe's members meet in one task.
+
+        Texts move compressed, a third of their sets' size, and become sets where they are tried.
+        """
         levels, percent, salts = self.levels, self.percent, common.partitions(self.spark)
         pairs = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"), "b")
         roles = pairs.union(pairs.select("a", "salt", F.col("a").alias("b")).distinct()).toDF("a", "salt", "id")
@@ -285,11 +328,27 @@ class Join:
         byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)")), 16, 10).cast("int")
         texts = texts.filter(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).select("id", "text")
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            compress = zstandard.ZstdCompressor(3).compress
             for batch, t in common.pieces(batches):
-                values, counts = shingles(t)
-                edges = common.bounds(counts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["id", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(compress, t)), pa.binary())], ["id", "blob"])
+
+        def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, np.ndarray]]:
+            """a, salt, id and set of each row, made for a few MB of text at a time."""
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            decompress = zstandard.ZstdDecompressor().decompress
+            at = size = 0
+            texts: list[bytes] = []
+            for x in [*batch.column(3), None]:
+                if x is None or size > common.CHUNK_BYTES:
+                    values, counts = shingles(texts)
+                    edges = common.bounds(counts)
+                    for row, i, j in zip(rows[at : at + len(texts)], edges, edges[1:], strict=False):
+                        yield *row, values[i:j]
+                    at, size, texts = at + len(texts), 0, []
+                if x is not None:
+                    texts.append(decompress(x.as_py()))
+                    size += len(texts[-1])
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Rows come by probe and salt, the probe first, then its members."""
@@ -309,8 +368,7 @@ class Join:
 
             for batch in batches:
                 out: list[tuple[int, int]] = []
-                for a, salt, i, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                    values = np.frombuffer(blob, "<u8")
+                for a, salt, i, values in opened(batch):
                     if (a, salt) != key or len(held) >= TRIE_SETS:
                         out += tried()
                         ids, held = [], []
@@ -323,8 +381,8 @@ class Join:
             out = tried()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-        rows = roles.join(texts.mapInArrow(sets, "id long, values binary"), "id")
-        rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a")).select("a", "salt", "id", "values")
+        rows = roles.join(texts.mapInArrow(small, "id long, blob binary"), "id")
+        rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a")).select("a", "salt", "id", "blob")
         return common.saved(self.spark, rows.mapInArrow(check, "a long, b long"), "links")
 
 
@@ -340,10 +398,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = join.sets()
     names = common.saved(spark, sets.filter("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
     classes = sets.join(names.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    meetings = join.meetings(classes)
-    links = join.verified(join.stars(meetings))
+    entries = sets.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
+    meetings = join.meetings(classes, int(entries))
+    links = join.verified(join.possible(join.stars(meetings), sets))
     parts = components(spark, links)
-    found = join.verified(join.rest(meetings, parts))
+    found = join.verified(join.possible(join.rest(meetings, parts), sets))
     if found.limit(1).count():
         parts = components(spark, parts.toDF("a", "b").union(found))
     out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(names, "digest", "left")
