@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilscope.llm import chat_format, elias_fano, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, token_counts
+from veilscope.llm import chat_format, common, elias_fano, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, value long, digest string"
 
@@ -167,6 +167,16 @@ def test_components(spark):
     assert all(rows[i] == 0 for i in range(1, 31)) and rows[100] == rows[200] == 50 and rows[339] == 300
 
 
+def test_samples_take_the_lowest_hashes(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "aa").otherwise("bb").alias("lang"), F.concat(F.lit("x"), F.col("id")).alias("text"))
+    near = rows.filter(common.lowest(F.xxhash64("doc_id"), 200, 6000)).count()
+    assert 140 < near < 260 and rows.filter(common.lowest(F.xxhash64("doc_id"), 6000, 6000)).count() == 6000
+    got = language_id.sample(rows, texts=7)
+    for lang in ("aa", "bb"):
+        wanted = rows.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(7).collect()
+        assert got[lang] == b"".join(language_id.prepared(r["text"]) for r in reversed(wanted))
+
+
 def test_language_id(spark):
     syllables = {"aa": "th er on an ing", "bb": "ung sch ein lich", "cc": "eau ment que ais"}
     rng = random.Random(4)

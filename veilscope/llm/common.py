@@ -72,6 +72,14 @@ def remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def lowest(h: Column, wanted: int, count: int) -> Column:
+    """Whether a 64-bit hash is among the lowest, of which `count` rows have about `wanted`. True if there are no more.
+
+    A filter before a rank of the lowest: what is then shuffled does not grow with the table.
+    """
+    return h < F.lit((wanted << 64) // count - (1 << 63)) if count > wanted else F.lit(True)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")

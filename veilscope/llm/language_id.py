@@ -20,6 +20,8 @@ from . import common
 
 #: Bound of the training sample: texts of a language, characters of a text, and languages.
 SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 400, 1_500, 32
+#: Rows that are ranked for each that is sampled; the rest makes up for texts without a letter.
+SPARE = 4
 LEVEL = 9
 #: Bytes between the best and the second language that count as one unit of evidence.
 UNIT = 4.0
@@ -32,16 +34,20 @@ _MADE: dict[tuple, list] = {}
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content for each language, from the texts with the smallest hashed ids. At most LANGUAGES * texts * chars characters reach the driver.
 
-    The limit by rank is pushed below the shuffle, so that a language with most of the rows costs no more than another.
-    Of more than LANGUAGES languages the first by name are learned.
+    Of more than LANGUAGES languages those with the most rows are learned. What is ranked is first cut by the hash to
+    about SPARE times what is wanted, so that a language with most of the rows costs no more than another.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ranked = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.substring(text_col, 1, chars).alias("text"))
+    lang, h = F.col(lang_col), F.xxhash64(F.col(id_col))
+    sizes = labelled.filter(lang.isNotNull()).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    near = F.lit(False)
+    for r in sizes:
+        near = near | ((lang == r["lang"]) & common.lowest(h, SPARE * texts, r["count"]))
+    rows = labelled.filter(near & F.col(text_col).rlike(r"\p{L}"))
+    ranked = rows.select(lang.alias("lang"), h.alias("h"), F.substring(text_col, 1, chars).alias("text"))
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= texts)
     found: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "n").select("lang", "text").toLocalIterator():
-        if r["lang"] in found or len(found) < LANGUAGES:
-            found.setdefault(r["lang"], []).append(r["text"])
+        found.setdefault(r["lang"], []).append(r["text"])
     return {k: b"".join(map(prepared, reversed(v))) for k, v in found.items()}
 
 
