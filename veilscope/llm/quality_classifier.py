@@ -114,18 +114,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most `sample` labelled rows of each class, the ones with the smallest hashed ids.
 
     Rows weigh so that the classes keep their shares among all labelled rows. Without both classes the machine gives
-    the one class, or 0.5 without labels.
+    the one class, or 0.5 without labels. Of repeated rows of a document and label one is learned from, so that the
+    sample stays bounded.
     """
     marks = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("y"))
     shares = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "y").collect()  # bounded
+    h = F.xxhash64("doc_id")
+    near = F.lit(False)
+    for k, n in shares.items():
+        near = near | ((F.col("y") == k) & common.lowest(h, 2 * sample, n))
+    order = Window.partitionBy("y").orderBy(h, "doc_id")
+    chosen = marks.filter(near).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "y").collect()  # bounded
     machine = Machine()
     if not chosen:
         return machine
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
-    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "text")
-    got = [(r["text"] or "", r["n_chars"], r["y"]) for r in rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "n_chars", "y").toLocalIterator()]
+    rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(ids.distinct()), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "n_chars")).alias("x"))
+    got = [(r["text"] or "", r["n_chars"], r["y"]) for r in rows.orderBy(F.xxhash64("doc_id"), "y").select("x.text", "x.n_chars", "y").toLocalIterator()]
     y = np.array([g[2] for g in got], float)
     if not len(y) or y.min() == y.max():
         machine.bias = 0.0 if not len(y) else (10.0 if y[0] else -10.0)
