@@ -92,7 +92,10 @@ def solved(cells: DataFrame, domains: list[str], targets: dict[str, float] | Non
     """Steps of the descent, and the wanted tokens of each domain.
 
     Errors are relative to a domain's expected tokens, which bounds the curvature by 1, so that a step of 1 descends.
-    Without `tokens` the total is SLACK times the most for which no domain is asked for more than cap times what it has.
+    Without `tokens` the total for given targets is SLACK times the most for which no domain is asked for more than cap
+    times what it has. The default targets share out all tokens there are (times the cap, if that is below 1), and a
+    domain that has less than its share is asked for cap times what it has: how small it is does not change the rest.
+    The descent ends where the targets are met, or where the caps leave nothing that moves.
     """
 
     def totals(r: Column) -> list[float]:
@@ -105,23 +108,29 @@ def solved(cells: DataFrame, domains: list[str], targets: dict[str, float] | Non
         return [], dict.fromkeys(domains, 0.0)
     wish = [max(0.0, (targets or {}).get(d, 0.0)) for d in domains] if targets else [(h / sum(have)) ** TEMPER for h in have]
     share = [w / (sum(wish) or 1) for w in wish]
-    total = tokens if tokens is not None else SLACK * min((cap * h / s for h, s in zip(have, share, strict=True) if s), default=0.0)
-    want = [total * s for s in share]
+    if tokens is None and not targets:
+        want = [min(cap * h, min(1.0, cap) * sum(have) * s) for h, s in zip(have, share, strict=True)]
+    else:
+        total = tokens if tokens is not None else SLACK * min((cap * h / s for h, s in zip(have, share, strict=True) if s), default=0.0)
+        want = [total * s for s in share]
     steps: list[list[float]] = []
+    before = [float("inf")] * len(have)
     for _ in range(STEPS):
         got = totals(rate(steps, cap)) if steps else [h * min(1.0, cap) for h in have]
         step = [(g - w) / h if h else 0.0 for g, w, h in zip(got, want, have, strict=True)]
-        if max(map(abs, step)) < CLOSE:
+        still = all(abs(g - b) <= CLOSE / 10 * h for g, b, h in zip(got, before, have, strict=True))
+        if max(map(abs, step)) < CLOSE or still:
             break
         steps.append(step)
+        before = got
     return steps, dict(zip(domains, want, strict=True))
 
 
 def mix(df: DataFrame, targets: dict[str, float] | None = None, tokens: float | None = None, cap: float = 1.0, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> tuple[DataFrame, dict[str, float]]:
     """df with mix_tokens, mix_domain, mix_posterior, mix_rate and mix_copies; and the wanted tokens of each domain.
 
-    targets: relative weights of the domains, the values of `source`; the default tempers their shares. A target without
-    documents is left out. mix_copies is the rate's whole part plus one with the chance of the rest, by hashed id, so
+    targets: relative weights of the domains, the values of `source`; the default tempers their shares, and domains that
+    have less than their share are taken whole, up to the cap. A target without documents is left out. mix_copies is the rate's whole part plus one with the chance of the rest, by hashed id, so
     that equal ids have equal fates. Null sources are unknown domains, other nulls are no evidence; null and empty texts
     have no tokens and the rate of their cell. Repeated rows count each. Other columns stay as they are.
     """
