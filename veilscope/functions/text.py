@@ -12,8 +12,8 @@ from . import unicode_tables as U
 
 #: A fragment longer than this shows its head and tail only.
 FRAGMENT = 96
-#: Steps that find a common prefix of up to 2 ** STEPS - 1 characters, more than a document may have.
-STEPS = 17
+#: Steps that find a common prefix of up to 2 ** STEPS - 1 characters, the most that a string can have.
+STEPS = 31
 TAG_RUN = r"[\x{E0000}-\x{E007E}]*\x{E007F}|[\x{E0000}-\x{E007E}]+"
 _TAG_CHARS = "".join(map(chr, range(0xE0020, 0xE007F))) + "".join(map(chr, [*range(0xE0000, 0xE0020), 0xE007F]))
 
