@@ -1,10 +1,13 @@
 """The corpus operators and stages where the whole job is more than the common case: tiny sources, null and repeated ids, many languages."""
 
+import random
 from collections import defaultdict
 
 import pytest
 
-from veilscope.llm import mixing
+from veilscope.llm import exact_dedup, language_id, mixing
+
+SCHEMA = "doc_id long, text string, lang string"
 
 
 def mixed(spark, sizes, words=50):
@@ -32,3 +35,23 @@ def test_only_sources_beyond_their_tempered_share_lose_tokens(spark):
     assert want["hot"] == pytest.approx(whole * share, rel=0.1)  # posteriors move a few of the tokens between domains
     assert got["hot"] == pytest.approx(want["hot"], rel=0.05) and got["hot"] < 0.85 * have["hot"]
     assert all(got[s] > 0.9 * have[s] for s in have if s != "hot")
+
+
+def spoken(syllables, seed, words=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices(syllables.split(), k=2)) for _ in range(words))
+
+
+def test_language_stage_decides_by_row(spark):
+    kinds = {"aa": "th er on an ing", "bb": "ung sch ein lich", "cc": "eau ment que ais"}
+    rows = [(i, spoken(kinds[lang], i), lang) for i in range(90) for lang in [("aa", "bb", "cc")[i % 3]]]
+    odd = [(None, spoken(kinds["aa"], 900), "aa"), (None, spoken(kinds["bb"], 901), None), (5, "12 !!", "aa"), (7, None, "aa"), (None, "3.5", "cc")]
+    out = language_id.stage(spark, spark.createDataFrame(rows + odd, SCHEMA), "")
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, rows + odd[:2]))
+
+
+def test_exact_stage_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "a", "x"), (None, "b", "x"), (None, None, "x"), (None, " ", "x"), (3, "c d", "x"), (4, "cd", "x"), (None, "c d", "x"), (6, "e", "x"), (6, "f", "y")]
+    out = exact_dedup.stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    want = [(1, "a", "x"), (None, "b", "x"), (None, " ", "x"), (3, "c d", "x"), (6, "e", "x"), (6, "f", "y")]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))

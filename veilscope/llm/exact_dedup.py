@@ -52,10 +52,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay; doc_id is their key."""
+    """The documents that stay, by the rule of exact_dedup. Whole rows are combined, one for each text and input partition,
+    so that ids may be null or repeat: each text has one row afterwards.
+    """
     common.tune(spark)
-    stay = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    content = F.regexp_replace(text, f"{common.SPACE}+", "")
+    order = F.struct(F.length(text).alias("size"), F.bitwise_not("doc_id").alias("first"))
+    rows = docs.select(content.alias("content"), order.alias("order"), F.struct(*docs.columns).alias("row"))
+    rows = rows.select(F.xxhash64("content").alias("h"), "*")  # is sorted by faster than the content
+    return rows.groupBy("h", "content").agg(F.max_by("row", "order").alias("row")).select("row.*")
 
 
 _SQL = r"""

@@ -69,6 +69,24 @@ def coders(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.Z
     return _MADE[key]
 
 
+def scored(batches: Iterator[pa.RecordBatch], model: tuple[tuple[str, bytes], ...], text: str, level: int, unit: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
+    """Slices of the batches, with the language and the score of each row."""
+    made = coders(model, level)
+    for batch, texts in common.pieces(batches, text):
+        names, scores = [], []
+        for t in texts:
+            t = prepared(t.decode("utf-8", "replace"))
+            if not made or not t.strip():
+                names.append("und")
+                scores.append(0.0)
+                continue
+            sizes = np.array([len(c.compress(t)) for c in made], float)
+            best = int(sizes.argmin())
+            names.append(model[best][0])
+            scores.append(float(1 / np.exp(np.maximum((sizes[best] - sizes) / unit, -50)).sum()))
+        yield batch, names, scores
+
+
 def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, unit: float = UNIT, margin: float = MARGIN) -> DataFrame:
     """One row for each row of df: id, lang_pred, score (0 to 1), rejected.
 
@@ -78,19 +96,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     model = tuple(sorted(dictionaries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = coders(model, level)
-        for batch, texts in common.pieces(batches):
-            names, scores = [], []
-            for t in texts:
-                t = prepared(t.decode("utf-8", "replace"))
-                if not made or not t.strip():
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                sizes = np.array([len(c.compress(t)) for c in made], float)
-                best = int(sizes.argmin())
-                names.append(model[best][0])
-                scores.append(float(1 / np.exp(np.maximum((sizes[best] - sizes) / unit, -50)).sum()))
+        for batch, names, scores in scored(batches, model, "text", level, unit):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([s < margin for s in scores], pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -98,6 +104,17 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     return out.withColumnRenamed("id", id_col)
 
 
+def accepted(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL, unit: float = UNIT, margin: float = MARGIN) -> DataFrame:
+    """The rows of df that identify does not reject, whole. Each row has its own decision, so that ids may be null or repeat."""
+    model = tuple(sorted(dictionaries.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, scores in scored(batches, model, text_col, level, unit):
+            yield batch.filter(pa.array([s >= margin for s in scores], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def learned(docs: DataFrame) -> dict[str, bytes]:
     """From rows whose remainder modulo 4 is not 2."""
     return sample(docs.filter(common.remainder("doc_id", 4) != 2))
@@ -112,8 +129,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; `und` and narrow margins go."""
     common.tune(spark)
-    kept = identify(docs, learned(docs)).filter(~F.col("rejected")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return accepted(docs, learned(docs))
 
 
 QUERIES = {"op6_language_id": op6_language_id}
