@@ -55,3 +55,14 @@ def test_exact_stage_keeps_one_row_of_each_text(spark):
     out = exact_dedup.stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
     want = [(1, "a", "x"), (None, "b", "x"), (None, " ", "x"), (3, "c d", "x"), (6, "e", "x"), (6, "f", "y")]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} text", f"l{i % 40}") for i in range(120)] + [(500, "no language", None), (501, "12", "digits")]
+    got = language_id.sample(spark.createDataFrame(rows, SCHEMA), texts=3)
+    assert set(got) == {f"l{k}" for k in range(40)} and all(got.values())
+
+
+def test_texts_without_letters_do_not_use_up_the_sample(spark):
+    rows = [(i, "a word" if i % 200 == 0 else (None, "12 !!")[i % 2], "aa") for i in range(2400)]
+    assert language_id.sample(spark.createDataFrame(rows, SCHEMA), texts=5)["aa"] == b" a word " * 5

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample: texts of a language, characters of a text, and languages.
+#: Bound of the training sample: texts of a language, characters of a text, and languages that give so many texts.
 SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 400, 1_500, 32
-#: Rows that are ranked for each that is sampled; the rest makes up for texts without a letter.
+#: Rows that are ranked for each that is sampled; the rest makes up for hashes that are spread unevenly.
 SPARE = 4
 LEVEL = 9
 #: Bytes between the best and the second language that count as one unit of evidence.
@@ -32,17 +32,19 @@ _MADE: dict[tuple, list] = {}
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionary content for each language, from the texts with the smallest hashed ids. At most LANGUAGES * texts * chars characters reach the driver.
+    """Dictionary content for each language, from the texts with the smallest hashed ids.
 
-    Of more than LANGUAGES languages those with the most rows are learned. What is ranked is first cut by the hash to
-    about SPARE times what is wanted, so that a language with most of the rows costs no more than another.
+    Every language that has a text with a letter is learned. At most LANGUAGES * texts * chars characters reach the driver:
+    of more languages each gives fewer texts, but one at least. What is ranked is first cut by the hash to about SPARE
+    times what is wanted, so that a language with most of the rows costs no more than another.
     """
     lang, h = F.col(lang_col), F.xxhash64(F.col(id_col))
-    sizes = labelled.filter(lang.isNotNull()).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    near = F.lit(False)
-    for r in sizes:
-        near = near | ((lang == r["lang"]) & common.lowest(h, SPARE * texts, r["count"]))
-    rows = labelled.filter(near & F.col(text_col).rlike(r"\p{L}"))
+    usable = labelled.filter(lang.isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy(lang.alias("lang")).count().collect()}
+    texts = max(1, min(texts, LANGUAGES * texts // max(1, len(sizes))))
+    large = [F.lit(x) for k, n in sizes.items() if n > SPARE * texts for x in (k, ((SPARE * texts) << 64) // n - (1 << 63))]
+    cut = F.try_element_at(F.create_map(*large), lang) if large else F.lit(None).cast("long")
+    rows = usable.filter(cut.isNull() | (h < cut))
     ranked = rows.select(lang.alias("lang"), h.alias("h"), F.substring(text_col, 1, chars).alias("text"))
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= texts)
     found: dict[str, list[str]] = {}
