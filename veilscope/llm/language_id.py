@@ -1,8 +1,8 @@
 """Language identification by compression.
 
 Every language gets a raw-content zstandard dictionary made of a bounded sample of its labelled texts. The letters
-of a whole text are encoded with each dictionary; the language with the fewest bytes wins, and a narrow margin is a
-rejection.
+of a whole text are encoded with each dictionary; the language with the fewest bytes wins. A text is rejected where about
+three languages are as likely; a narrow margin between the best two alone is no rejection yet.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     """One row for each row of df: id, lang_pred, score (0 to 1), rejected.
 
     Null texts and texts without a letter, or no dictionaries at all, give `und`, score 0, rejected. Ties go to the
-    first language by name and their score is low. Repeated rows give repeated rows; other columns are not read.
+    first language by name; a tie of the best two scores at most 0.5 and is not rejected. Repeated rows give repeated rows; other columns are not read.
     """
     model = tuple(sorted(dictionaries.items()))
 
@@ -129,7 +129,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; `und` and narrow margins go."""
+    """Documents whose language is told; those that identify rejects go."""
     common.tune(spark)
     return accepted(docs, learned(docs))
 
