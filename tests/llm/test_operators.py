@@ -292,24 +292,81 @@ def test_elias_fano(tmp_path):
         assert (found == np.isin(asked, values)).all() and (place[found] == np.searchsorted(values, asked[found])).all()
 
 
+def bands(n):
+    return n - 1 if n <= 8 else 5 + n.bit_length() - 1
+
+
+def interpolated(train, texts):
+    """log10 probability of each text, with dictionaries only."""
+    train, texts = ([[*(t or "").lower().split(), None] for t in x] for x in (train, texts))
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip([None, *t], t))
+    three = Counter(p for t in train for p in zip([None, *t], t, t[1:]))
+    contexts = Counter()
+    for (a, b, _), n in three.items():
+        contexts[a, b] += n
+    tokens, fresh = Counter(), Counter()
+    for level, (grams, whole) in enumerate(((two, one), (three, contexts))):
+        for g, n in grams.items():
+            m = whole[g[0]] if level == 0 else whole[g[:2]]
+            if m > 1:
+                tokens[level, bands(m - 1)] += n
+                fresh[level, bands(m - 1)] += n == 1
+    weights = [lm_scoring.weighed([(tokens[level, b], fresh[level, b]) for b in range(lm_scoring.BANDS)]) for level in (0, 1)]
+    below = sum(one.values()) + 0.5 * (len(one) + 1)
+
+    def p2(a, b):
+        x = weights[0][bands(one[a])] if one[a] else 1
+        return (1 - x) * two[a, b] / max(1, one[a]) + x * (one[b] + 0.5) / below
+
+    def p3(a, b, c):
+        x = weights[1][bands(contexts[a, b])] if contexts[a, b] else 1
+        return (1 - x) * three[a, b, c] / max(1, contexts[a, b]) + x * p2(b, c)
+
+    return [np.log10(p2(None, t[0])) + sum(np.log10(p3(*g)) for g in zip([None, *t], t, t[1:])) for t in texts]
+
+
+LEARNED = [None, "", "A b", *[prose(i, 30, 20) for i in range(60)], prose(3, 30, 20), "w1 w1 w1 w1 w2 w1 w1", "  "]
+
+
 def test_lm_scoring(spark):
-    texts = [None, "", "A b", *[prose(i, 30, 20) for i in range(60)], "unseen words here w1"]
+    texts = [*LEARNED, "unseen words here w1", "w1", "unseen", None]
     docs = table(spark, texts)
-    model = lm_scoring.learn(docs.filter("doc_id < 60"), shards=3)
-    rows = {r["doc_id"]: r for r in lm_scoring.score(docs, model).collect()}
+    held = len(LEARNED)
     tokens = [[*(t or "").lower().split(), None] for t in texts]
-    seen = Counter(x for t in tokens[:60] for x in t)
+    seen = Counter(x for t in tokens[:held] for x in t)
     total, types = sum(seen.values()), len(seen)
-    for i, t in enumerate(tokens):
-        base = sum(np.log10((seen[x] + 0.5) / (total + 0.5 * (types + 1))) for x in t)
-        assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(t), sum(seen[x] > 0 for x in t), total)
-        assert rows[i]["base_score"] == pytest.approx(base) and rows[i]["score"] < 0
-    trie = lm_scoring.Trie(*model)
-    names = [x for x in seen if x]
-    ids, n = trie.words(np.concatenate([[lm_scoring.END], lm_scoring.hashes([x.encode() for x in names])]).astype(np.uint64))
-    single = np.log10((n + 0.5) / trie.below)
-    for context in [*ids[:8], -1]:  # the probabilities of all words and of one unknown word sum to 1
-        p = trie.pairs(np.full(len(ids) + 1, context), np.append(ids, -1), np.append(single, trie.unknown))
-        assert (10**p).sum() == pytest.approx(1, abs=0.03)
+    want = interpolated(LEARNED, texts)
+    results = []
+    for shard_tokens, parts in ((37, 4), (lm_scoring.SHARD_TOKENS, 1), (500, 9)):
+        model = lm_scoring.learn(docs.filter(F.col("doc_id") < held).repartition(parts), shard_tokens=shard_tokens)
+        rows = {r["doc_id"]: r for r in lm_scoring.score(docs, model).collect()}
+        for i, t in enumerate(tokens):
+            base = sum(np.log10((seen[x] + 0.5) / (total + 0.5 * (types + 1))) for x in t)
+            assert (rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (len(t), sum(seen[x] > 0 for x in t), total)
+            assert rows[i]["base_score"] == pytest.approx(base) and rows[i]["score"] == pytest.approx(want[i], abs=3e-4 * len(t))
+        results.append([rows[i]["score"] for i in range(len(texts))])
+    assert results[0] == results[1] == results[2]  # how the levels are cut changes nothing
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    docs = table(spark, LEARNED)
+    trie = lm_scoring.Trie(*lm_scoring.learn(docs, shard_tokens=100))
+    words = sorted({w for t in LEARNED for w in (t or "").lower().split()})
+    for before in ("w1", "w1 w2", "", "nothing w3"):
+        texts = [f"{before} {w}".encode() for w in [*words, "nowhere"]]
+        r = lm_scoring.Read(trie, texts)
+        last = np.cumsum(r.counts) - 2
+        ends = lm_scoring.probabilities(trie, lm_scoring.Read(trie, [before.encode()]))[1][-1]
+        assert (10 ** lm_scoring.probabilities(trie, r)[1][last]).sum() + 10**ends == pytest.approx(1, abs=2e-3)
+
+
+def test_lm_scoring_of_odd_tables(spark):
+    docs = table(spark, LEARNED)
     empty = lm_scoring.score(docs, lm_scoring.learn(docs.limit(0)))
     assert empty.agg(F.max("n_known")).first()[0] == 0
+    odd = spark.createDataFrame([(None, "w1 w2"), (1, "w1 w2"), (1, "w1 w2"), (2, None)], "doc_id long, text string")
+    model = lm_scoring.learn(docs)
+    rows = lm_scoring.score(odd, model).collect()
+    assert len(rows) == 4 and len({r["score"] for r in rows if r["n_tokens"] == 3}) == 1
+    assert lm_scoring.score(odd.limit(0), model).count() == 0

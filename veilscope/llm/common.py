@@ -33,10 +33,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
+    """This application's folder below spark.checkpoint.dir. Where that is unset, a local run gets a temporary one; a cluster,
+    whose executors share no local folder, an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="veilscope-")
         _ROOTS[app] = f"{base.rstrip('/')}/scratch-{app}-{uuid.uuid4().hex[:8]}"
@@ -59,10 +63,15 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: this cuts lineage and survives lost executors."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of plans that nothing refers to
+    collected(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -39,8 +39,8 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 class Sequence:
     """Search in an encoded sequence; its arrays may be mapped from a file."""
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        (n, bits), self.low, self.words, self.zeros = (arrays[x] for x in ("shape", "low", "words", "zeros"))
+    def __init__(self, arrays: dict[str, np.ndarray], prefix: str = ""):
+        (n, bits), self.low, self.words, self.zeros = (arrays[prefix + x] for x in ("shape", "low", "words", "zeros"))
         self.n, self.bits = int(n), int(bits)
         self.mask = np.uint64((1 << self.bits) - 1)
 
@@ -82,9 +82,14 @@ class Sequence:
         return lo, found
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder. Hadoop's name for S3 is known under its plain one."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """A file of arrays in a shared folder. It appears whole or not at all, so that a task may be run again."""
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     head, at, body = {}, 0, []
     for k, a in arrays.items():
@@ -102,16 +107,27 @@ def write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     store.move(part, f"{path}/{name}")
 
 
+def remove(folder: str, name: str) -> None:
+    """Deletes a file, if it is there."""
+    store, path = store_of(folder)
+    with contextlib.suppress(FileNotFoundError):
+        store.delete_file(f"{path}/{name}")
+
+
 @lru_cache(4096)
-def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped read-only. A file in a store that cannot be mapped is copied for this worker first."""
-    store, path = fs.FileSystem.from_uri(folder)
+def mapped(folder: str, name: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file, mapped read-only; None if there is none. Of a store that cannot be mapped the file is read."""
+    store, path = store_of(folder)
     path = f"{path}/{name}"
-    if not isinstance(store, fs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="mapped-"), name)
-        fs.copy_files(path, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        path = local
-    data = np.memmap(path, np.uint8, "r")
+    if isinstance(store, fs.LocalFileSystem):
+        if not os.path.exists(path):
+            return None
+        data = np.memmap(path, np.uint8, "r")
+    elif store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    else:
+        with store.open_input_file(path) as file:
+            data = np.frombuffer(file.read(), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     return {k: data[8 + size + at : 8 + size + at + n].view(kind) for k, (kind, at, n) in head.items()}

@@ -1,13 +1,17 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-The first level holds the words, the second the successors of each word. A level is cut into shards by ranges of its
-contexts, each a file in the shared folder that workers map into memory: a rising Elias-Fano sequence of context times
-words plus successor, whose high bits are the monotone pointers to a context's children, and one byte of quantised log
-probability for each. A pair is looked up by successor search below its context.
-
-Pairs are smoothed by interpolation with single words: p(w|c) = (n(c,w) + t p(w)) / (n(c) + t), where t maximises the
-probability of the training pairs left out one at a time. All counts cover all training documents; what a shard holds
-is bounded by choosing the number of shards from the number of tokens.
+"""Language-model scoring with an Elias-Fano n-gram trie of three levels.
+
+The first level holds the words, in the order of their hashes, with the running sum of their counts; a word's id is its
+rank. The second and third levels hold the successors of words and of pairs. They are cut into shards of about equal
+numbers of tokens: the sum of the counts before a context, plus the successor's share of the context's own count, gives a
+place that rises with (context, successor), so that a frequent context is split among as many shards as it fills. Each
+shard is a file in the shared folder that workers map into memory. For each level it holds a rising Elias-Fano
+sequence of (context, successor), whose high bits are the monotone pointers to a context's children, and a quantised
+probability for each. An n-gram is looked up by successor search below its context.
+
+Levels are interpolated: p(w|c) = (1 - x) n(c,w) / n(c) + x p(w|shorter c). The weight x depends on how often the
+context was seen only. It is the share of tokens that would be new after such a context, by leaving each training token out once:
+whole numbers summed over all shards, so that nothing depends on how the work is cut. A stored probability is (1 - x)
+n(c,w) / n(c); lookup adds the share of the shorter context, which it has at hand.
 """
 
 from __future__ import annotations
@@ -24,10 +28,16 @@ from pyspark.sql import functions as F
 
 from . import common, elias_fano
 
-#: Tokens for each shard of a level; pairs that a map task gathers before it sends them.
+#: Tokens of each shard of the second and third level; distinct words that a map task gathers before it sends them.
 SHARD_TOKENS, GATHERED = 2_000_000, 1_500_000
-#: Trial values of t, and levels of quantised probabilities.
-TRIALS, LEVELS = [0.5 * 4.0**k for k in range(11)], 255
+#: Characters for one shard of words; shards grow with the square root of the text, faster than a vocabulary's shards fill.
+WORD_CHARS = 4_000_000
+#: Codes for each decade of a probability, in two bytes: 16 decades.
+STEP = 4096
+#: Bands of how often a context was seen: one for each number up to 8, then one for each power of two.
+BANDS = 70
+#: Ids of words are 32-bit numbers.
+MOST_TYPES = (1 << 32) - 2
 #: Stands for the end of a text, and as a context for its beginning.
 END = np.uint64(0)
 
@@ -37,6 +47,12 @@ def hashes(distinct: list[bytes]) -> np.ndarray:
     return np.where(h == END, np.uint64(1), h)
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    """The band of a context seen n times, n >= 1."""
+    n = np.maximum(n, 1)
+    return np.where(n <= 8, n - 1, 5 + np.log2(n).astype(np.int64)).astype(np.int64)
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     k, n = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (keys, counts))
@@ -46,94 +62,134 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], (np.add.reduceat(n, first) if len(k) else n)
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ordered keys and counts; high and low halves apart, which compress better so."""
-    high, low = (keys >> np.uint64(32)).astype("<u4"), keys.astype("<u4")
-    return zstandard.ZstdCompressor(1).compress(b"".join([np.diff(high, prepend=high[:0].sum(dtype="<u4")).tobytes(), low.tobytes(), counts.astype("<u4").tobytes()]))
+def planes(x: np.ndarray, kind: str) -> bytes:
+    """The bytes of numbers, first bytes first, which compress better so."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def packed(*columns: tuple[np.ndarray, str]) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join([np.array([len(x) for x, _ in columns], "<i8").tobytes(), *[planes(x, k) for x, k in columns]]))
+
+
+def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(data, "<i8", len(kinds)), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += int(n) * width
+    return out
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").reshape(3, -1)
-    return np.cumsum(data[0], dtype="<u4").astype(np.uint64) << np.uint64(32) | data[1], data[2]
+def rising(x: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, which np.cumsum undoes."""
+    return np.diff(x, prepend=x[:0].sum(dtype=x.dtype))
 
 
 class Gatherer:
-    """Counts of keys in a map task, sent as one blob for each shard when there are many."""
+    """Counts of hashed words in a map task, sent as one blob for each shard when there are many."""
 
-    def __init__(self, shard_of):
-        self.shard_of, self.keys, self.counts, self.n = shard_of, [], [], 0
+    def __init__(self, shards: int):
+        self.shards, self.keys, self.counts, self.n = shards, [], [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k)
-        self.counts.append(n)
-        self.n += len(k)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.n += len(keys)
         if self.n > GATHERED:
             yield from self.sent()
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         if self.n:
             k, n = merged(self.keys, self.counts)
-            shard = self.shard_of(k)
-            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            blobs = [packed(k[a:b], n[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
             self.keys, self.counts, self.n = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+            yield blobs(word_shard(k, self.shards), lambda a, b: packed((rising(k[a:b]), "<u8"), (n[a:b], "<i8")))
+
+
+def blobs(shard: np.ndarray, of) -> pa.RecordBatch:
+    """A row for each run of one shard; of(a, b) packs what lies from a to b."""
+    edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int64)), pa.array([of(a, b) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["shard", "blob"])
 
 
-def small(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts in a byte each; those from 255 on beside."""
-    large = np.flatnonzero(counts >= 255)
-    return {"counts": np.minimum(counts, 255).astype(np.uint8), "large": large, "large_counts": counts[large].astype(np.int64)}
+def runs(x: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The values of an ordered array and where they lie."""
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else []
+    return ((int(x[a]), slice(a, b)) for a, b in zip(edges, edges[1:], strict=False))
 
 
 class Trie:
-    """The levels of a model, as a worker sees them. words: types in each shard of the first level, in order."""
-
-    def __init__(self, folder: str, words: tuple[int, ...], tokens: int, pair_shards: int):
-        self.folder, self.shards, self.tokens, self.pair_shards = folder, len(words), tokens, pair_shards
-        self.before = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
-        self.types = int(self.before[-1])
-        self.below = tokens + 0.5 * (self.types + 1)
-        self.unknown = np.log10(0.5 / self.below)
-        self.span = -(-max(1, self.types) // max(1, pair_shards))
-
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of hashed words. An id is a word's rank among all hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        if not self.types:
-            return ids, counts
-        shard = word_shard(h, self.shards)
-        for s in np.unique(shard):
-            if self.before[s + 1] == self.before[s]:
-                continue
-            at = np.flatnonzero(shard == s)
-            arrays = elias_fano.mapped(self.folder, f"words-{s}")
-            place, found = elias_fano.Sequence(arrays).successors(h[at] - first_hash(int(s), self.shards))
-            at, place = at[found], place[found]
-            ids[at] = self.before[s] + place
-            n = arrays["counts"][place].astype(np.int64)
-            if (big := n == 255).any():
-                n[big] = arrays["large_counts"][np.searchsorted(arrays["large"], place[big])]
-            counts[at] = n
-        return ids, counts
-
-    def pairs(self, context: np.ndarray, word: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """log10 p(word|context) for ids; single: log10 p(word), which alone counts after an unknown context."""
-        out = single.copy()
-        known = np.flatnonzero(context >= 0)
-        shard = context[known] // self.span
+    """The levels of a model, as a worker sees them. words: (types, tokens) of each shard of the first level, in order.
+
+    weights: for the second and third level, the weight of the shorter context by band.
+    """
+
+    def __init__(self, folder: str, words: tuple[tuple[int, int], ...], shard_tokens: int, weights: tuple[tuple[float, ...], ...] = ()):
+        self.folder, self.word_shards, self.shard_tokens = folder, len(words), shard_tokens
+        self.first, self.sums = (np.concatenate([[0], np.cumsum([w[i] for w in words])]).astype(np.int64) for i in (0, 1))
+        self.types, self.tokens = int(self.first[-1]), int(self.sums[-1])
+        self.below = self.tokens + 0.5 * (self.types + 1)
+        self.shards = -(-self.tokens // shard_tokens)
+        self.weights = np.array(weights).reshape(-1, BANDS)
+
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1: unknown), counts, and sums of the counts before, of hashed words."""
+        ids, counts, before = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        shard = word_shard(h, self.word_shards)
         order = np.argsort(shard, kind="stable")
-        known, shard = known[order], shard[order]
-        for s in np.unique(shard):
-            at = known[np.searchsorted(shard, s) : np.searchsorted(shard, s, side="right")]
-            arrays = elias_fano.mapped(self.folder, f"pairs-{s}")
-            local = context[at] - s * self.span
-            out[at] += arrays["backoff_levels"][arrays["backoffs"][local]]
-            at, local = at[word[at] >= 0], local[word[at] >= 0]
-            place, found = elias_fano.Sequence(arrays).successors(local * self.types + word[at])
-            out[at[found]] = arrays["levels"][arrays["codes"][place[found]]]
-        return out
+        for s, own in runs(shard[order]):
+            if self.first[s + 1] > self.first[s]:
+                at = order[own]
+                arrays = elias_fano.mapped(self.folder, f"words-{s}")
+                place, found = elias_fano.Sequence(arrays).successors(h[at] - first_hash(s, self.word_shards))
+                at, place = at[found], place[found]
+                ids[at] = self.first[s] + place
+                sums = arrays["sums"]
+                counts[at], before[at] = sums[place + 1] - sums[place], self.sums[s] + sums[place]
+        return ids, counts, before
+
+    def counted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and sums of the counts before, of ordered known ids."""
+        counts, before = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+        for s, own in runs(np.searchsorted(self.first, ids, side="right") - 1):
+            sums, place = elias_fano.mapped(self.folder, f"words-{s}")["sums"], ids[own] - self.first[s]
+            counts[own], before[own] = sums[place + 1] - sums[place], self.sums[s] + sums[place]
+        return counts, before
+
+    def shard(self, count: np.ndarray, before: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Where the pairs of a context, seen `count` times, lie; it rises with (context, successor)."""
+        inside = np.minimum((count * (successor / max(1, self.types))).astype(np.int64), count - 1)
+        return (before + inside) // self.shard_tokens
+
+    def pairs(self, context: np.ndarray, count: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of ids: stored probability (0: not seen), band as a context, shard, and place in it (-1: not seen)."""
+        p, bands, place = np.zeros(len(word)), np.zeros(len(word), np.int64), np.full(len(word), -1, np.int64)
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        shard = np.full(len(word), -1, np.int64)
+        shard[known] = self.shard(count[known], before[known], word[known])
+        known = known[np.argsort(shard[known], kind="stable")]
+        for s, own in runs(shard[known]):
+            at = known[own]
+            arrays = elias_fano.mapped(self.folder, f"levels-{s}")
+            if arrays is None:
+                continue
+            first, last = arrays["contexts"]
+            at = at[(context[at] >= first) & (context[at] <= last)]
+            where, found = elias_fano.Sequence(arrays, "pair_").successors((context[at] - first) * self.types + word[at])
+            at, where = at[found], where[found]
+            place[at], bands[at] = where, arrays["bands"][where]
+            p[at] = 10 ** (elias_fano.mapped(self.folder, f"codes-{s}")["pairs"][where] / -STEP)
+        return p, bands, shard, place
+
+    def triples(self, shard: np.ndarray, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Stored probabilities of words after pairs that lie at these places; 0 where not seen."""
+        p = np.zeros(len(word))
+        known = np.flatnonzero((place >= 0) & (word >= 0))
+        known = known[np.argsort(shard[known], kind="stable")]
+        for s, own in runs(shard[known]):
+            at = known[own]
+            where, found = elias_fano.Sequence(elias_fano.mapped(self.folder, f"levels-{s}"), "triple_").successors(place[at] * self.types + word[at])
+            p[at[found]] = 10 ** (elias_fano.mapped(self.folder, f"codes-{s}")["triples"][where[found]] / -STEP)
+        return p
 
 
 def word_shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -146,8 +202,8 @@ def first_hash(shard: int, shards: int) -> np.uint64:
 
 
 @lru_cache(4)
-def trie(folder: str, words: tuple[int, ...], tokens: int, pair_shards: int) -> Trie:
-    return Trie(folder, words, tokens, pair_shards)
+def trie(*model) -> Trie:
+    return Trie(*model)
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,117 +213,178 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, counts + 1, np.concatenate([[END], hashes(distinct)]).astype(np.uint64)
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and levels: quantiles of the values, and each value's nearest."""
-    levels = np.unique(np.quantile(values, (np.arange(LEVELS) + 0.5) / LEVELS))
-    return np.searchsorted((levels[1:] + levels[:-1]) / 2, values).astype(np.uint8), levels
+class Read:
+    """The tokens of some texts as a trie knows them, with codes in the order of ids: code, and for each code id, count
+    and the sum of the counts before. Every token is the second of a pair; its first is the end of the text before, at
+    the beginning of a text. `inner` are the tokens that another one of their text follows.
+    """
+
+    def __init__(self, t: Trie, texts: list[bytes]):
+        tokens, self.counts, names = stream(texts)
+        ids, count, before = t.words(names)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.tokens, self.ids, self.count, self.before, self.n = rank[tokens], ids[order], count[order], before[order], len(order)
+        first = np.concatenate([rank[:1], self.tokens[:-1]])
+        self.pairs, self.pair = np.unique(first * self.n + self.tokens, return_inverse=True)
+        self.inner = np.flatnonzero(tokens != 0)
 
 
-def learn(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> tuple:
-    """What Trie takes, from all texts of docs. The driver gets two numbers for each shard.
+def word_shards(docs: DataFrame, text_col: str) -> int:
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    return max(1, int((chars / WORD_CHARS) ** 0.5) + 1)
 
-    Pass 1 counts words by hash, pass 2 pairs of ids by context. A map task sends sums of what it has seen, so that
-    frequent words and pairs cost one entry for each task. Null texts count as empty: one end.
+
+def learn(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> tuple:
+    """What Trie takes, from all texts of docs. The driver gets two numbers for each shard of words and two for each band.
+
+    Pass 1 counts words by hash, pass 2 counts triples of ids, from which the shards sum their pairs. A map task sends sums
+    of what it has seen. All successors of a pair lie in one shard, one entry each for a task and a word. Null texts count
+    as empty: one end. More words than a 32-bit number can tell apart raise an error.
     """
     spark = docs.sparkSession
     folder = f"{common.scratch_root(spark)}/trie-{uuid.uuid4().hex[:8]}"
     texts = docs.select(F.col(text_col).alias("text"))
-    many = shards or common.partitions(spark)
+    many = word_shards(docs, text_col)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Gatherer(lambda k: word_shard(k, many))
+        own = Gatherer(many)
         for _, t in common.pieces(batches):
             tokens, _, names = stream(t)
-            yield from own.add(names[tokens])
+            yield from own.add(names, np.bincount(tokens, minlength=len(names)))
         yield from own.sent()
 
     def build_words(key: tuple, group: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        k, n = merged(*zip(*map(unpacked, group.column("blob").to_pylist()), strict=True))
+        parts = [unpacked(b, "<u8", "<i8") for b in group.column("blob").to_pylist()]
+        k, n = merged([np.cumsum(p[0], dtype=np.uint64) for p in parts], [p[1] for p in parts])
         start = first_hash(s, many)
         end = int(first_hash(s + 1, many)) if s + 1 < many else 1 << 64
-        elias_fano.write(folder, f"words-{s}", elias_fano.encode(k - start, end - int(start)) | small(n))
-        return pa.table({"shard": pa.array([s], pa.int32()), "types": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
-
-    blobs = texts.mapInArrow(count_words, "shard int, blob binary")
-    built = blobs.groupBy("shard").applyInArrow(build_words, "shard int, types long, tokens long").collect()  # a row a shard
-    types = {r["shard"]: r["types"] for r in built}
-    words = tuple(types.get(s, 0) for s in range(many))
-    total = sum(r["tokens"] for r in built)
-    pair_shards = max(shards or 0, many if shards is None else 0, -(-total // SHARD_TOKENS))
-    model = (folder, words, total, pair_shards)
-    if not total:
+        elias_fano.write(folder, f"words-{s}", elias_fano.encode(k - start, end - int(start)) | {"sums": common.bounds(n)})
+        return pa.table({"shard": pa.array([s], pa.int64()), "types": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+
+    sent = texts.mapInArrow(count_words, "shard long, blob binary")
+    built = sent.groupBy("shard").applyInArrow(build_words, "shard long, types long, tokens long").collect()  # a row a shard
+    sizes = {r["shard"]: (r["types"], r["tokens"]) for r in built}
+    words = tuple(sizes.get(s, (0, 0)) for s in range(many))
+    model = (folder, words, shard_tokens)
+    if sum(w[0] for w in words) > MOST_TYPES:
+        raise ValueError("more distinct words than 32-bit ids can tell apart")
+    if not sizes:
         return model
+    del sent
+    common.collected(spark)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(*model)
-        own = Gatherer(lambda k: (k >> np.uint64(32)).astype(np.int64) // t.span)
         for _, x in common.pieces(batches):
-            tokens, _, names = stream(x)
-            ids, _ = t.words(names)
-            ids = ids[tokens].astype(np.uint64)
-            before = np.concatenate([ids[-1:], ids[:-1]])  # the last token is an end, which is also the first context
-            yield from own.add(before << np.uint64(32) | ids)
-        yield from own.sent()
-
-    def build_pairs(key: tuple, group: pa.Table) -> pa.Table:
+            r = Read(t, x)
+            after = np.full(len(r.tokens), r.n, np.int64)  # nothing follows an end
+            after[r.inner] = r.tokens[r.inner + 1]
+            own, n = np.unique(r.pair * (r.n + 1) + after, return_counts=True)
+            pair, word = own // (r.n + 1), own % (r.n + 1)
+            edges = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))  # each pair has a successor here
+            u, v = r.pairs // r.n, r.pairs % r.n
+            key = r.ids[u].astype(np.uint64) * np.uint64(t.types) + r.ids[v].astype(np.uint64)
+            word = np.append(r.ids, t.types)[word]
+            children = np.diff(edges)
+            yield blobs(t.shard(r.count[u], r.before[u], r.ids[v]), lambda a, b, k=key, c=children, e=edges, w=word, m=n: packed((rising(k[a:b]), "<u8"), (c[a:b], "<u4"), (w[e[a] : e[b]], "<u4"), (m[e[a] : e[b]], "<u4")))
+
+    def build_levels(key: tuple, group: pa.Table) -> pa.Table:
         s, t = key[0].as_py(), trie(*model)
-        k, n = merged(*zip(*map(unpacked, group.column("blob").to_pylist()), strict=True))
-        context, word = (k >> np.uint64(32)).astype(np.int64) - s * t.span, k & np.uint64(0xFFFFFFFF)
-        p = 10 ** singles(t, word.astype(np.int64))
-        total_of = np.bincount(context, n, t.span)
-        of = total_of[context]
-        left_out = [float((n * np.log((n - 1 + x * p) / (of - 1 + x))).sum()) for x in TRIALS]
-        x = TRIALS[int(np.argmax(left_out))]
-        codes, levels = quantised(np.log10((n + x * p) / (of + x)))
-        backoffs, backoff_levels = quantised(np.log10(x / (total_of + x)))
-        sequence = elias_fano.encode(context.astype(np.uint64) * np.uint64(t.types) + word, t.span * t.types)
-        elias_fano.write(folder, f"pairs-{s}", sequence | {"codes": codes, "levels": levels, "backoffs": backoffs, "backoff_levels": backoff_levels})
-        return pa.table({"shard": pa.array([s], pa.int32()), "pairs": pa.array([len(k)], pa.int64()), "t": pa.array([x], pa.float64())})
-
-    blobs = texts.mapInArrow(count_pairs, "shard int, blob binary")
-    blobs.groupBy("shard").applyInArrow(build_pairs, "shard int, pairs long, t double").collect()  # a row a shard
+        parts = [unpacked(b, "<u8", "<u4", "<u4", "<u4") for b in group.column("blob").to_pylist()]
+        sent, children = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts])
+        keys, at = np.unique(sent, return_inverse=True)
+        k, n = merged([np.repeat(at, children) * (t.types + 1) + np.concatenate([p[2] for p in parts]).astype(np.int64)], [np.concatenate([p[3] for p in parts])])
+        of, word = k // (t.types + 1), k % (t.types + 1)
+        total = np.bincount(of, n, len(keys)).astype(np.int64)  # exact below 2 ** 53
+        context = (keys // np.uint64(t.types)).astype(np.int64)
+        seen = t.counted(context)[0]
+        first, last = int(context[0]), int(context[-1])
+        followed = word < t.types
+        of, word, n = of[followed], word[followed], n[followed]
+        arrays = {"contexts": np.array([first, last], np.int64), "bands": band(total).astype(np.uint8)}
+        arrays |= {f"pair_{x}": y for x, y in elias_fano.encode(keys - np.uint64(first * t.types), (last - first + 1) * t.types).items()}
+        arrays |= {f"triple_{x}": y for x, y in elias_fano.encode(of * t.types + word, len(keys) * t.types).items()}
+        elias_fano.write(folder, f"levels-{s}", arrays)
+        elias_fano.write(folder, f"shares-{s}", {"pairs": -np.log10(total / seen), "of": band(seen), "triples": -np.log10(n / total[of]), "under": of.astype(np.int64)})
+        out = []
+        for level, count, whole in ((0, total, seen), (1, n, total[of])):
+            own = whole > 1  # what is left of the context without the token at hand
+            bands = band(whole[own] - 1)
+            tokens, fresh = (np.bincount(bands, x, BANDS).astype(np.int64) for x in (count[own], count[own] == 1))
+            out += [(s, level, b, int(tokens[b]), int(fresh[b])) for b in np.flatnonzero(tokens)]
+        return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("shard", "level", "band", "tokens", "fresh"))})
+
+    sent = texts.mapInArrow(count_triples, "shard long, blob binary")
+    built = sent.groupBy("shard").applyInArrow(build_levels, "shard long, level long, band long, tokens long, fresh long")
+    sums = {(r["level"], r["band"]): (r["tokens"], r["fresh"]) for r in built.groupBy("level", "band").agg(F.sum("tokens").alias("tokens"), F.sum("fresh").alias("fresh")).collect()}  # two levels of BANDS
+    weights = tuple(weighed([sums.get((level, b), (0, 0)) for b in range(BANDS)]) for level in (0, 1))
+    model = (*model, weights)
+    del sent, built
+    common.collected(spark)
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                shares = elias_fano.mapped.__wrapped__(folder, f"shares-{s}")
+                if shares is not None:
+                    more = -np.log10(1 - np.array(weights))
+                    bands = elias_fano.mapped.__wrapped__(folder, f"levels-{s}")["bands"]
+                    codes = {"pairs": shares["pairs"] + more[0][shares["of"]], "triples": shares["triples"] + more[1][bands[shares["under"]]]}
+                    elias_fano.write(folder, f"codes-{s}", {x: np.minimum(np.rint(y * STEP), 65535).astype(np.uint16) for x, y in codes.items()})
+                    elias_fano.remove(folder, f"shares-{s}")
+            yield batch
+
+    shards = -(-sum(w[1] for w in words) // shard_tokens)
+    spark.range(0, shards, 1, min(shards, 4 * common.partitions(spark))).mapInArrow(smooth, "id long").agg(F.count("*")).collect()
     return model
 
 
-def singles(t: Trie, ids: np.ndarray) -> np.ndarray:
-    """log10 p(word) of known ids."""
-    out = np.empty(len(ids))
-    shard = np.searchsorted(t.before, ids, side="right") - 1
-    for s in np.unique(shard):
-        at = np.flatnonzero(shard == s)
-        arrays = elias_fano.mapped(t.folder, f"words-{s}")
-        place = ids[at] - t.before[s]
-        n = arrays["counts"][place].astype(np.int64)
-        if (big := n == 255).any():
-            n[big] = arrays["large_counts"][np.searchsorted(arrays["large"], place[big])]
-        out[at] = np.log10((n + 0.5) / t.below)
-    return out
+def weighed(sums: list[tuple[int, int]]) -> tuple[float, ...]:
+    """The weight of the shorter context by band, from tokens and how many of them are new; the band below where there are none."""
+    out: list[float] = []
+    for tokens, fresh in sums:
+        out.append((fresh + 0.5) / (tokens + 1) if tokens or not out else out[-1])
+    return tuple(out)
+
+
+def probabilities(t: Trie, r: Read) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the single and of the interpolated probability of each token."""
+    u, v = r.pairs // r.n, r.pairs % r.n
+    single = (r.count + 0.5) / t.below
+    p, bands, shard, place = t.pairs(r.ids[u], r.count[u], r.before[u], r.ids[v])
+    if len(t.weights):
+        p += np.where(r.count[u] > 0, t.weights[0][band(r.count[u])], 1.0) * single[v]
+        rest = np.where(place >= 0, t.weights[1][bands], 1.0)
+    else:
+        p, rest = single[v], np.ones(len(v))
+    both, three = np.unique(r.pair[r.inner] * r.n + r.tokens[r.inner + 1], return_inverse=True)
+    found = t.triples(shard[both // r.n], place[both // r.n], r.ids[both % r.n])
+    out = p[r.pair]
+    out[r.inner + 1] = found[three] + rest[r.pair[r.inner]] * out[r.inner + 1]
+    return np.log10(single)[r.tokens], np.log10(out)
 
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score. No shuffle.
 
     Null and empty texts are one end. Without training texts every token has the probability of the one unknown class.
-    Repeated rows give repeated rows; other columns are not read.
+    Repeated rows and null ids give rows of their own; other columns are not read. An empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(*model)
         for batch, texts in common.pieces(batches):
-            tokens, counts, names = stream(texts)
-            ids, seen = t.words(names)
-            single = np.log10((seen + 0.5) / t.below)
-            ends = np.cumsum(counts)
-            before = np.concatenate([[0], tokens[:-1]])
-            both, place = np.unique(before * len(names) + tokens, return_inverse=True)
-            c, w = both // len(names), both % len(names)
-            found = t.pairs(ids[c], ids[w], single[w])[place]
-
-            def sums(x: np.ndarray, ends: np.ndarray = ends, counts: np.ndarray = counts) -> np.ndarray:
-                return np.add.reduceat(x, ends - counts)
-
-            columns = [pa.array(counts), pa.array(sums((seen > 0).astype(np.int64)[tokens])), pa.array(np.full(len(counts), t.tokens)), pa.array(sums(single[tokens])), pa.array(sums(found))]
+            r = Read(t, texts)
+            single, full = probabilities(t, r)
+            ends = np.cumsum(r.counts)
+
+            def sums(x: np.ndarray, starts: np.ndarray = ends - r.counts) -> np.ndarray:
+                return np.add.reduceat(x, starts)
+
+            columns = [pa.array(r.counts), pa.array(sums((r.count > 0).astype(np.int64)[r.tokens])), pa.array(np.full(len(ends), t.tokens)), pa.array(sums(single)), pa.array(sums(full))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
