@@ -53,6 +53,11 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 8, n - 1, 5 + np.log2(n).astype(np.int64)).astype(np.int64)
 
 
+def coded(p: np.ndarray) -> np.ndarray:
+    """Quantised probabilities."""
+    return np.minimum(np.rint(np.log10(p) * -STEP), 65535).astype(np.uint16)
+
+
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     k, n = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (keys, counts))
@@ -308,7 +313,8 @@ def learn(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOK
         arrays |= {f"pair_{x}": y for x, y in elias_fano.encode(keys - np.uint64(first * t.types), (last - first + 1) * t.types).items()}
         arrays |= {f"triple_{x}": y for x, y in elias_fano.encode(of * t.types + word, len(keys) * t.types).items()}
         elias_fano.write(folder, f"levels-{s}", arrays)
-        elias_fano.write(folder, f"shares-{s}", {"pairs": -np.log10(total / seen), "of": band(seen), "triples": -np.log10(n / total[of]), "under": of.astype(np.int64)})
+        shares = {"pairs": coded(total / seen), "of": band(seen).astype(np.uint8), "triples": coded(n / total[of]), "children": np.bincount(of, minlength=len(keys)).astype(np.uint32)}
+        elias_fano.write(folder, f"shares-{s}", shares)
         out = []
         for level, count, whole in ((0, total, seen), (1, n, total[of])):
             own = whole > 1  # what is left of the context without the token at hand
@@ -330,10 +336,10 @@ def learn(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOK
             for s in batch.column(0).to_pylist():
                 shares = elias_fano.mapped.__wrapped__(folder, f"shares-{s}")
                 if shares is not None:
-                    more = -np.log10(1 - np.array(weights))
-                    bands = elias_fano.mapped.__wrapped__(folder, f"levels-{s}")["bands"]
-                    codes = {"pairs": shares["pairs"] + more[0][shares["of"]], "triples": shares["triples"] + more[1][bands[shares["under"]]]}
-                    elias_fano.write(folder, f"codes-{s}", {x: np.minimum(np.rint(y * STEP), 65535).astype(np.uint16) for x, y in codes.items()})
+                    more = coded(1 - np.array(weights)).astype(np.int64)
+                    under = np.repeat(elias_fano.mapped.__wrapped__(folder, f"levels-{s}")["bands"], shares["children"])
+                    codes = {"pairs": shares["pairs"] + more[0][shares["of"]], "triples": shares["triples"] + more[1][under]}
+                    elias_fano.write(folder, f"codes-{s}", {x: np.minimum(y, 65535).astype(np.uint16) for x, y in codes.items()})
                     elias_fano.remove(folder, f"shares-{s}")
             yield batch
 
