@@ -110,7 +110,11 @@ def sets(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("block, shingles", [(jaccard_join.BLOCK, jaccard_join.TRIE_SHINGLES), (4, 300)])
+def test_jaccard_join(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # small ones salt nearly every meeting, and cut shards small
+    monkeypatch.setattr(jaccard_join, "SEEN", min(jaccard_join.SEEN, block))
+    monkeypatch.setattr(jaccard_join, "TRIE_SHINGLES", shingles)
     rng = random.Random(5)
     texts = [None, "", "a b", "A  b", "a b c", " "]
     for base in range(12):
@@ -142,11 +146,26 @@ def test_jaccard_join(spark):
 def test_trie_walk():
     rng = np.random.default_rng(2)
     some = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(200)]
-    keys = [s.astype(">u8").tobytes() for s in some]
-    trie = jaccard_join.Trie(some, list(range(200)), keys)
-    for probe in some[:20]:
-        want = {i for i, s in enumerate(some) if 100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe))}
-        assert set(trie.linked(probe)) == want
+    some += [np.arange(5, dtype=np.uint64), np.arange(6, dtype=np.uint64), np.arange(3, dtype=np.uint64)]
+    trie = jaccard_join.Trie(some, list(range(len(some))), [s.astype(">u8").tobytes() for s in some])
+    probes = [*some[:20], *some[-3:], np.array([999], np.uint64)]
+    want = {(k, i) for k, p in enumerate(probes) for i, s in enumerate(some) if 100 * len(np.intersect1d(s, p)) >= 80 * len(np.union1d(s, p))}
+    assert set(trie.linked(probes)) == want
+
+
+def test_shared_nodes_are_walked_once_for_all_probes():
+    base = np.arange(0, 1000, 2, dtype=np.uint64)
+    some = [np.append(base, np.uint64(2001 + k)) for k in range(50)]
+    trie = jaccard_join.Trie(some, list(range(50)), [s.astype(">u8").tobytes() for s in some])
+    assert len(trie.linked([*some, base])) == 50 * 51
+    assert trie.walked == len(base) + 50  # the shared run, and one shingle of each set
+    other = jaccard_join.Trie(some, list(range(50)), [s.astype(">u8").tobytes() for s in some])
+    assert other.linked([base + np.uint64(1)]) == [] and other.walked == len(base)  # nothing below is visited
+
+
+def test_forest():
+    forest = jaccard_join.Forest()
+    assert [forest.tie(*x) for x in ((1, 2), (3, 2), (1, 3), (5, 4), (4, 1), (5, 3))] == [True, True, False, True, True, False]
 
 
 def test_parities():

@@ -61,10 +61,15 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: this cuts lineage and survives lost executors."""
+    return saved_at(spark, df, name)[0]
+
+
+def saved_at(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As saved, with the path, for a caller that drops the table before the application ends."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     collected(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def collected(spark: SparkSession) -> None:
