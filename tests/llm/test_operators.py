@@ -252,7 +252,7 @@ def test_quality_rules(spark):
 
 def test_packing(spark):
     texts = [*ODD, *[prose(i, 5 + 37 * i % 900) for i in range(120)]]
-    rows = packing.pack(table(spark, texts), capacity=512, salts=3).collect()
+    rows = packing.pack(table(spark, texts), capacity=512, part_rows=3).collect()
     places, whole = defaultdict(list), defaultdict(list)
     for r in rows:
         ids = [*encoded(texts[r["doc_id"]]), 1][r["start"] : r["start"] + r["length"]]

@@ -1,9 +1,10 @@
 """Exact deduplication by skew-safe combining.
 
 Equal texts are combined three times: inside each input partition (the map side of the first aggregation), inside each
-salted digest group, and across the salts of a digest. Full content is part of the key at every stage, so that a
-digest collision never merges two texts. A text with any number of copies costs one row for each input partition in
-the first shuffle and one for each salt in the second.
+salted digest group, and across the salts of a digest, where only the winner of each salt and its count go. Full content is
+part of the key at every stage, so that a digest collision never merges two texts. A text with any number of copies costs
+one row for each input partition in the first shuffle and one for each salt in the second; the ids of its copies stay in
+their salted groups, which get the result by a join on the group's own number.
 """
 
 from __future__ import annotations
@@ -25,25 +26,27 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Normalising deletes the characters of common.SPACE; null counts as empty, so that null, empty and blank texts are
     one group. The row with the most code points, then the smallest id stays. A null id loses every tie. Where a row
-    repeats the id of the one that stays, one of them is kept. Other columns are not read. An empty table gives none.
+    repeats the id of the one that stays, one of them is kept. Ids are whole numbers. Other columns are not read. An empty table gives none.
     """
-    salts = salts or common.partitions(df.sparkSession)
+    spark = df.sparkSession
+    salts = salts or common.partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.length(text).alias("size"), F.regexp_replace(text, f"{common.SPACE}+", "").alias("content"))
     rows = rows.select("*", digest(F.col("content")).alias("digest"), (F.spark_partition_id() % salts).alias("salt"))
     best = F.max(F.struct("size", F.bitwise_not("id").alias("first"))).alias("best")  # ~id falls as id rises, without overflow
     groups = rows.groupBy("digest", "salt", "content").agg(F.collect_list(F.struct("id")).alias("members"), best)
+    groups = common.saved(spark, groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     same = Window.partitionBy("digest", "content")
-    order = same.orderBy(F.col("best").desc(), F.col("salt"))
-    groups = groups.select(
-        "digest",
-        "members",
+    winners = groups.select("group", "digest", "content", "best", "salt", F.size("members").alias("n"))
+    winners = winners.select(
+        "group",
         F.bitwise_not(F.max("best").over(same)["first"]).alias("keep_id"),
-        F.sum(F.size("members")).over(same).cast("long").alias("group_size"),
-        (F.row_number().over(order) == 1).alias("has_best"),
+        F.sum("n").over(same).cast("long").alias("group_size"),
+        (F.row_number().over(same.orderBy(F.col("best").desc(), F.col("salt"))) == 1).alias("has_best"),
     )
+    found = groups.select("group", "digest", "members").join(winners, "group")
     at = F.coalesce(F.array_position(F.transform("members", lambda m: m["id"]), F.col("keep_id")), F.lit(1)) - 1
-    out = groups.select("*", at.alias("at")).select("*", F.posexplode("members").alias("pos", "member"))
+    out = found.select("*", at.alias("at")).select("*", F.posexplode("members").alias("pos", "member"))
     return out.select(F.col("member.id").alias(id_col), "keep_id", "group_size", (F.col("has_best") & (F.col("pos") == F.col("at"))).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -354,28 +354,38 @@ class Join:
                     p, q = np.nonzero(ok)
                     yield np.sort(np.column_stack([a[p, 3], b[q, 3]]), axis=1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Ordered rows; what is held is one meeting of one block or two."""
+        def met(rows: np.ndarray) -> Iterator[np.ndarray]:
+            same = rows[0, 1] == rows[0, 2]
+            x, y = (rows[:, 4:], rows[:, 4:]) if same else (rows[rows[:, 3] == k][:, 4:] for k in (0, 1))
+            return between(x, y, same)
+
+        def meetings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            """Ordered rows by meeting of one block or two, which is all that is held."""
             held: list[np.ndarray] = []
             for batch in batches:
                 own = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-                if not len(own):
-                    continue
-                edges = np.flatnonzero(np.concatenate([[True], (own[1:, :3] != own[:-1, :3]).any(1), [True]]))
+                edges = np.flatnonzero(np.concatenate([[True], (own[1:, :3] != own[:-1, :3]).any(1), [True]])) if len(own) else []
                 for a, b in zip(edges, edges[1:], strict=False):
                     if held and (held[-1][-1, :3] != own[a, :3]).any():
-                        yield from met(np.concatenate(held))
+                        yield np.concatenate(held)
                         held = []
                     held.append(own[a:b])
             if held:
-                yield from met(np.concatenate(held))
+                yield np.concatenate(held)
 
-        def met(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            same = rows[0, 1] == rows[0, 2]
-            x, y = (rows[:, 4:], rows[:, 4:]) if same else (rows[rows[:, 3] == k][:, 4:] for k in (0, 1))
-            for both in between(x, y, same):
-                if len(both):
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, n = [np.empty((0, 2), np.int64)], 0
+            for rows in meetings_of(batches):
+                for both in met(rows):
+                    out.append(both)
+                    n += len(both)
+                    if n > 1 << 16:
+                        yield sent(np.concatenate(out))
+                        out, n = out[:1], 0
+            yield sent(np.concatenate(out))
+
+        def sent(both: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
         return rows.mapInArrow(run, "a long, b long").distinct()
 

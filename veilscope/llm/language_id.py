@@ -1,51 +1,51 @@
 """Language identification by compression.
 
 Every language gets a raw-content zstandard dictionary made of a bounded sample of its labelled texts. The letters
-of a whole text are encoded with each dictionary; the language with the fewest bytes wins. A text is rejected where about
-three languages are as likely; a narrow margin between the best two alone is no rejection yet.
+of a whole text are encoded with each dictionary; the language with the fewest bytes wins. A text is rejected where the
+margin to the others is narrow: no byte between the best two, or about three languages as likely.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample: texts of a language, characters of a text, and languages that give so many texts.
-SAMPLE_TEXTS, SAMPLE_CHARS, LANGUAGES = 400, 1_500, 32
+#: Bound of the training sample: whole texts of a language, and of all languages together, of which each has one at least.
+SAMPLE_TEXTS, SAMPLE_ALL = 250, 8_000
 #: Rows that are ranked for each that is sampled; the rest makes up for hashes that are spread unevenly.
 SPARE = 4
 LEVEL = 9
 #: Bytes between the best and the second language that count as one unit of evidence.
 UNIT = 4.0
-#: A document is rejected if the score, the softmax of the sizes, is below this.
-MARGIN = 0.36
-_OTHER = re.compile(r"[\W\d_]+")
+#: A document is rejected if the score, the softmax of the sizes, is below this, or fewer bytes than NARROW tell the best two apart.
+MARGIN, NARROW = 0.36, 1
+_OTHER, _OTHER_ASCII = regex.compile(r"\P{L}+"), regex.compile("[^a-z]+")
 _MADE: dict[tuple, list] = {}
 
 
-def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
     """Dictionary content for each language, from the texts with the smallest hashed ids.
 
-    Every language that has a text with a letter is learned. At most LANGUAGES * texts * chars characters reach the driver:
-    of more languages each gives fewer texts, but one at least. What is ranked is first cut by the hash to about SPARE
+    Every language that has a text with a letter is learned, from whole texts. At most SAMPLE_ALL texts reach the driver, or one
+    a language: of very many languages each gives fewer. What is ranked is first cut by the hash to about SPARE
     times what is wanted, so that a language with most of the rows costs no more than another.
     """
     lang, h = F.col(lang_col), F.xxhash64(F.col(id_col))
     usable = labelled.filter(lang.isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     sizes = {r["lang"]: r["count"] for r in usable.groupBy(lang.alias("lang")).count().collect()}
-    texts = max(1, min(texts, LANGUAGES * texts // max(1, len(sizes))))
+    texts = max(1, min(texts, SAMPLE_ALL // max(1, len(sizes))))
     large = [F.lit(x) for k, n in sizes.items() if n > SPARE * texts for x in (k, ((SPARE * texts) << 64) // n - (1 << 63))]
     cut = F.try_element_at(F.create_map(*large), lang) if large else F.lit(None).cast("long")
     rows = usable.filter(cut.isNull() | (h < cut))
-    ranked = rows.select(lang.alias("lang"), h.alias("h"), F.substring(text_col, 1, chars).alias("text"))
+    ranked = rows.select(lang.alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= texts)
     found: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "n").select("lang", "text").toLocalIterator():
@@ -55,7 +55,8 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def prepared(text: str) -> bytes:
     """Lower-case letters, with one space for each run of anything else: case, digits and marks tell no language."""
-    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
+    text = text.lower()
+    return f" {(_OTHER_ASCII if text.isascii() else _OTHER).sub(' ', text).strip()} ".encode()
 
 
 def coders(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.ZstdCompressor]:
@@ -71,35 +72,37 @@ def coders(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.Z
     return _MADE[key]
 
 
-def scored(batches: Iterator[pa.RecordBatch], model: tuple[tuple[str, bytes], ...], text: str, level: int, unit: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[float]]]:
-    """Slices of the batches, with the language and the score of each row."""
+def scored(batches: Iterator[pa.RecordBatch], model: tuple[tuple[str, bytes], ...], text: str, level: int, unit: float, margin: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[bool]]]:
+    """Slices of the batches, with the language and the score of each row, and whether it is rejected."""
     made = coders(model, level)
     for batch, texts in common.pieces(batches, text):
-        names, scores = [], []
+        names, scores, rejected = [], [], []
         for t in texts:
             t = prepared(t.decode("utf-8", "replace"))
             if not made or not t.strip():
                 names.append("und")
                 scores.append(0.0)
+                rejected.append(True)
                 continue
             sizes = np.array([len(c.compress(t)) for c in made], float)
             best = int(sizes.argmin())
             names.append(model[best][0])
             scores.append(float(1 / np.exp(np.maximum((sizes[best] - sizes) / unit, -50)).sum()))
-        yield batch, names, scores
+            rejected.append(scores[-1] < margin or np.count_nonzero(sizes < sizes[best] + NARROW) > 1)
+        yield batch, names, scores, rejected
 
 
 def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, unit: float = UNIT, margin: float = MARGIN) -> DataFrame:
     """One row for each row of df: id, lang_pred, score (0 to 1), rejected.
 
     Null texts and texts without a letter, or no dictionaries at all, give `und`, score 0, rejected. Ties go to the
-    first language by name; a tie of the best two scores at most 0.5 and is not rejected. Repeated rows give repeated rows; other columns are not read.
+    first language by name and are rejected. Repeated rows give repeated rows; other columns are not read.
     """
     model = tuple(sorted(dictionaries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in scored(batches, model, "text", level, unit):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([s < margin for s in scores], pa.bool_())], ["id", "lang_pred", "score", "rejected"])
+        for batch, names, scores, rejected in scored(batches, model, "text", level, unit, margin):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
@@ -111,8 +114,8 @@ def accepted(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     model = tuple(sorted(dictionaries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, scores in scored(batches, model, text_col, level, unit):
-            yield batch.filter(pa.array([s >= margin for s in scores], pa.bool_()))
+        for batch, _, _, rejected in scored(batches, model, text_col, level, unit, margin):
+            yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame operations only.
 
-A table of labelled evidence gives each document posteriors over the domains (naive Bayes over a few cheap values, the
-declared source being one that may be wrong). Documents with the same evidence form a cell. Projected-gradient least
+A table of labelled evidence gives each document posteriors over the domains: naive Bayes over a few cheap values. The
+declared source is the label, and no evidence for itself: it enters as a statement that is wrong with a small
+probability, so that strong evidence outweighs it. Documents with the same evidence form a cell. Projected-gradient least
 squares finds a rate for each cell, between 0 and a cap, whose expected tokens of each domain meet the targets. A step
 is one grouped sum over the cells, and a rate is a fold over the steps so far, so that no table is rewritten.
 """
@@ -15,7 +16,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-EVIDENCE = ["source", "lang", "length", "capitals", "marks", "lines"]
+EVIDENCE = ["lang", "length", "capitals", "marks", "lines"]
+#: Chance that a declared source is wrong; any other domain is then as likely.
+NOISE = 0.005
+#: Domains are a fold over literals in the plan; more than so many raise an error that asks for a coarser column.
+MOST_DOMAINS = 2_000
 #: Exponent of the default targets: shares of the domains' tokens to this power, so that large sources lose weight.
 TEMPER = 0.7
 STEPS, CLOSE, PRIOR, SLACK = 40, 1e-4, 0.5, 0.95
@@ -45,21 +50,24 @@ def evidence(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({"mix_tokens": F.size(common.words(text)).cast("long")} | {f"mix_{k}": F.coalesce(v.cast("string"), F.lit("")) for k, v in values.items()})
 
 
-NAMES = [f"mix_{x}" for x in EVIDENCE]
+NAMES = [f"mix_{x}" for x in ("source", *EVIDENCE)]
 
 
 def posteriors(cells: DataFrame, domain_col: str = "mix_source") -> tuple[DataFrame, list[str]]:
     """Cells with `p`, an array of posteriors in the order of the domains that are returned.
 
-    The labelled table counts documents by evidence value and domain, from cells whose domain is known. Cells with
-    unknown domain get posteriors from their other evidence alone. Without labelled rows there is no domain.
+    The labelled table counts documents by evidence value and domain, from cells whose domain is known. A known domain is
+    wrong with the chance NOISE. Cells with unknown domain get posteriors from their evidence alone. Without labelled rows
+    there is no domain.
     """
     labelled = cells.filter(F.col(domain_col) != "")
     sizes = {r["d"]: r["n"] for r in labelled.groupBy(F.col(domain_col).alias("d")).agg(F.sum("n").alias("n")).collect()}  # a number a domain
     domains, total = sorted(sizes), sum(sizes.values())
+    if len(domains) > MOST_DOMAINS:
+        raise ValueError(f"{len(domains)} domains, more than {MOST_DOMAINS}: mix by a coarser column")
     if not domains:
         return cells.withColumn("p", F.array().cast("array<double>")), []
-    long = F.explode(F.array(*[F.struct(F.lit(x).alias("f"), F.col(x).alias("v")) for x in NAMES])).alias("x")
+    long = F.explode(F.array(*[F.struct(F.lit(x).alias("f"), F.col(x).alias("v")) for x in NAMES if x != domain_col])).alias("x")
     seen = labelled.select(F.col(domain_col).alias("d"), "n", long).groupBy("x.f", "x.v", "d").agg(F.sum("n").alias("n"))
     seen = seen.groupBy("f", "v").agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("seen"))
     size = F.create_map(*[F.lit(y) for d in domains for y in (d, log(sizes[d] + 32 * PRIOR))])
@@ -69,6 +77,9 @@ def posteriors(cells: DataFrame, domain_col: str = "mix_source") -> tuple[DataFr
     scored = parts.select("cell", F.posexplode("one").alias("i", "s")).groupBy("cell", "i").agg(F.sum("s").alias("s"))
     prior = F.array(*[F.lit(log((sizes[d] + PRIOR) / (total + PRIOR * len(domains)))) for d in domains])
     scored = scored.select("cell", F.struct("i", (F.col("s") + F.get(prior, F.col("i"))).alias("s")).alias("s")).groupBy("cell").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["s"]).alias("s"))
+    other = log(NOISE / max(1, len(domains) - 1))
+    told = F.transform(names, lambda d: F.when(F.col(domain_col) == "", 0.0).when(F.col(domain_col) == d, log(1 - NOISE)).otherwise(other))
+    scored = cells.select("cell", domain_col).join(scored, "cell").select("cell", F.zip_with("s", told, lambda a, b: a + b).alias("s"))
     raised = scored.select("cell", F.transform("s", lambda x: F.exp(x - F.array_max("s"))).alias("e"))
     shares = raised.select("cell", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
     plain = F.transform(prior, lambda x: F.exp(x))
@@ -131,11 +142,12 @@ def mix(df: DataFrame, targets: dict[str, float] | None = None, tokens: float |
 
     targets: relative weights of the domains, the values of `source`; the default tempers their shares, and domains that
     have less than their share are taken whole, up to the cap. A target without documents is left out. mix_copies is the rate's whole part plus one with the chance of the rest, by hashed id, so
-    that equal ids have equal fates. Null sources are unknown domains, other nulls are no evidence; null and empty texts
+    that equal ids have equal fates. Input columns of these names, or called mix_ and a name of EVIDENCE or source, are replaced
+    or dropped. Null sources are unknown domains, other nulls are no evidence; null and empty texts
     have no tokens and the rate of their cell. Repeated rows count each. Other columns stay as they are.
     """
     spark = df.sparkSession
-    rows = evidence(df, text_col)
+    rows = evidence(df.drop("mix_domain", "mix_posterior", "mix_rate", "mix_copies"), text_col)
     cells = rows.groupBy(*NAMES).agg(F.sum("mix_tokens").cast("double").alias("tokens"), F.count("*").alias("n"))
     cells = common.saved(spark, cells.withColumn("cell", F.xxhash64(*NAMES)), "cells")
     shared, domains = posteriors(cells)
@@ -158,10 +170,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes. The cap of 1 takes none twice."""
+    """The documents that the mix takes, whole rows with any columns. The cap of 1 takes none twice."""
     common.tune(spark)
-    out, _ = mix(docs)
-    return out.filter(F.col("mix_copies") > 0).select(*docs.columns)
+    out, _ = mix(docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row")))
+    return out.filter(F.col("mix_copies") > 0).select("row.*")
 
 
 QUERIES = {"op1_mixing": op1_mixing}

@@ -27,8 +27,8 @@ from .token_counts import byte_letters
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
-#: Parts into which the rows of one length are dealt for ranking; the driver gets at most CAPACITY * SALTS counts.
-SALTS = 64
+#: Rows of one length that are ranked together, about: a longer list is dealt to more parts. The driver gets a count for each.
+PART_ROWS = 250_000
 REMEMBERED = 700_000
 #: Words that are pieces as they stand: letters, then marks.
 _PLAIN = regex.compile(r"(\p{L}*)([.,;:!?|]*)")
@@ -213,38 +213,44 @@ def planned(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents longer than capacity are cut into full pieces and a rest; all pieces are then packed. Null texts are
     empty documents, one end id each; repeated rows are packed each by itself; an empty table gives no rows. Other
-    columns are not read. The pieces are written once in the shared folder, so that no text is encoded twice.
+    columns are not read; the id may have any name but those of the other columns that are returned. The pieces are
+    written once in the shared folder, so that no text is encoded twice.
     """
     spark = df.sparkSession
-    key = F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int")
-    done = common.saved(spark, cut(df, path, capacity, end_id, id_col, text_col).withColumn("salt", key), "pieces")
-    counted = done.groupBy("length", "salt").count().collect()  # at most capacity * salts rows
-    cells = np.zeros((capacity + 1, salts), np.int64)
-    for r in counted:
-        cells[r["length"], r["salt"]] = r["count"]
-    plan = planned({w: int(n) for w, n in enumerate(cells.sum(1)) if n}, capacity)
-    before = np.cumsum(cells, axis=1) - cells
+    done = common.saved(spark, cut(df, path, capacity, end_id, id_col, text_col).withColumnRenamed(id_col, "id"), "pieces")
+    sizes = {r["length"]: r["count"] for r in done.groupBy("length").count().collect()}  # at most capacity rows
+    parts = [1 + sizes.get(w, 0) // part_rows for w in range(capacity + 1)]
+    first = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
+    part = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.get(F.lit(parts), F.col("length").cast("int"))).cast("int")
+    done = done.withColumn("part", part)
+    cells = np.zeros(first[-1], np.int64)
+    for r in done.groupBy("length", "part").count().collect():  # a row a part
+        cells[first[r["length"]] + r["part"]] = r["count"]
+    before = np.cumsum(cells) - cells
+    before -= np.repeat(before[first[:-1]], parts)  # pieces of a length in earlier parts
+    plan = planned(sizes, capacity)
     shift = np.int64(1 << 44)
     starts = plan[:, 0] * shift + plan[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, salt, n = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "salt", "n"))
-            rank = before[length, salt] + n - 1
+            length, part, n = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
+            rank = before[first[length] + part] + n - 1
             row = plan[np.searchsorted(starts, length * shift + rank, side="right") - 1]
             inside = rank - row[:, 1]
             sequence, slot = row[:, 2] + inside // row[:, 3], inside % row[:, 3]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(row[:, 4] + slot * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy(id_col, "piece", "ids_crc32")
+    order = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
     ranked = done.withColumn("n", F.row_number().over(order))
-    kind = done.schema[id_col].dataType.simpleString()
-    return ranked.select(id_col, "piece", "start", "length", "ids_crc32", "salt", "n").mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = done.schema["id"].dataType.simpleString()
+    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "part", "n").mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +258,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all documents. Null and repeated ids and null texts are packed as pack says."""
     common.tune(spark)
     return pack(docs)
 

@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BUCKETS, RANK = 1 << 15, 8
-#: Bound of the training sample: labelled rows of each class, by hashed id, and characters of each.
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+#: Bound of the training sample: labelled rows of each class, by hashed id. Their texts are read whole, on the executors.
+SAMPLE = 4_000
 EPOCHS, BATCH, RATE, DECAY = 6, 128, 0.05, 1e-5
 _UPPER, _LOWER, _DIGITS, _MARKS = (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"#*$%&|<>{}[]\\^~_=+@")
 STATISTICS = ["chars", "words", "mean_word", "capitals", "letters", "digits", "marks", "bangs", "stops", "lines", "same_lines", "distinct", "doubled", "n_chars"]
@@ -78,19 +78,18 @@ class Machine:
         *cells, dense = features(texts, n_chars)
         return 1 / (1 + np.exp(-np.clip(self.raw(*self.merged(*cells, dense), len(texts))[0], -30, 30)))
 
-    def fit(self, texts: list[bytes], n_chars: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Machine:
-        """Logistic loss by AdaGrad over small batches; weight of each row."""
-        rng = np.random.default_rng(seed)
-        r, c, x, dense = features(texts, n_chars)
+    def fit(self, r: np.ndarray, c: np.ndarray, x: np.ndarray, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 7) -> Machine:
+        """Logistic loss by AdaGrad over small batches, from what features gives; weight of each row."""
+        rng, n = np.random.default_rng(seed), len(y)
         self.shift, self.scale = dense.mean(0), dense.std(0) + 1e-6
         r, c, x = self.merged(r, c, x, dense)
         order = np.argsort(r, kind="stable")
         r, c, x = r[order], c[order], x[order]
-        edges = np.searchsorted(r, np.arange(len(texts) + 1))
+        edges = np.searchsorted(r, np.arange(n + 1))
         past_linear, past_vectors, past_bias = np.full(self.linear.shape, 1e-2), np.full(self.vectors.shape, 1e-2), 1e-2
         for _ in range(EPOCHS):
-            shuffled = rng.permutation(len(texts))
-            for at in range(0, len(texts), BATCH):
+            shuffled = rng.permutation(n)
+            for at in range(0, n, BATCH):
                 own = shuffled[at : at + BATCH]
                 cells = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in own])
                 row, col, val = np.repeat(np.arange(len(own)), np.diff(edges)[own]), c[cells], x[cells]
@@ -115,31 +114,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     Rows weigh so that the classes keep their shares among all labelled rows. Without both classes the machine gives
     the one class, or 0.5 without labels. Of repeated rows of a document and label one is learned from, so that the
-    sample stays bounded.
+    sample stays bounded. The driver gets the features of the sample, at most BUCKETS for a text, and no text.
     """
     marks = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("y"))
     shares = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     h = F.xxhash64("doc_id")
-    near = F.lit(False)
-    for k, n in shares.items():
-        near = near | ((F.col("y") == k) & common.lowest(h, 2 * sample, n))
-    order = Window.partitionBy("y").orderBy(h, "doc_id")
-    chosen = marks.filter(near).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "y").collect()  # bounded
+    chosen = []
+    for k, n in sorted(shares.items()):
+        chosen += marks.filter((F.col("y") == k) & common.lowest(h, 2 * sample, n)).orderBy(h, "doc_id").limit(sample).collect()  # bounded
     machine = Machine()
     if not chosen:
         return machine
-    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, y int")
+    ids = docs.sparkSession.createDataFrame(chosen, marks.schema)
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(ids.distinct()), "doc_id")
-    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "n_chars")).alias("x"))
-    got = [(r["text"] or "", r["n_chars"], r["y"]) for r in rows.orderBy(F.xxhash64("doc_id"), "y").select("x.text", "x.n_chars", "y").toLocalIterator()]
-    y = np.array([g[2] for g in got], float)
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "n_chars")).alias("x")).select(F.xxhash64("doc_id").alias("h"), F.col("y").cast("int").alias("y"), "x.text", "x.n_chars")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in common.pieces(batches):
+            r, c, x, dense = features(texts, lengths(batch.column(3)))
+            edges = np.searchsorted(r, np.arange(len(texts) + 1))
+            cells = [pa.array([v[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary()) for v in (c.astype("<i4"), x)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells, pa.array([d.tobytes() for d in dense], pa.binary())], ["h", "y", "c", "x", "dense"])
+
+    got = sorted(map(tuple, rows.mapInArrow(read, "h long, y int, c binary, x binary, dense binary").toLocalIterator()))
+    y = np.array([g[1] for g in got], float)
     if not len(y) or y.min() == y.max():
         machine.bias = 0.0 if not len(y) else (10.0 if y[0] else -10.0)
         machine.vectors[:] = 0
         return machine
     total = sum(shares.values())
     weight = np.where(y == 1, shares[1] / total / y.mean(), shares[0] / total / (1 - y.mean()))
-    return machine.fit([g[0].encode() for g in got], np.array([np.nan if g[1] is None else g[1] for g in got], float), y, np.maximum(weight, 0.2))
+    c, x, dense = (np.frombuffer(b"".join(g[i] for g in got), kind) for i, kind in ((2, "<i4"), (3, "<f8"), (4, "<f8")))
+    r = np.repeat(np.arange(len(got)), [len(g[2]) // 4 for g in got])
+    return machine.fit(r, c.astype(np.int64), x, dense.reshape(len(got), -1), y, np.maximum(weight, 0.2))
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
 
 
 def classify(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -150,8 +161,7 @@ def classify(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.pieces(batches):
-            n_chars = batch.column(2).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(texts, n_chars))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(texts, lengths(batch.column(2))))], ["doc_id", "score"])
 
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -22,6 +22,8 @@ from . import common
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
+#: What the file must do to a text, and what is done here: compose, make white space one space, fold to lower case.
+NORMALIZERS = ["Lowercase", "NFC", "Replace"]
 #: Words whose counts a Python worker remembers before it starts afresh.
 REMEMBERED = 500_000
 
@@ -40,6 +42,9 @@ class Counter(dict):
         super().__init__()
         file = json.load(open(path, encoding="utf-8"))
         model = file["model"]
+        kinds = [x["type"] for x in (file["normalizer"] or {}).get("normalizers", [file["normalizer"] or {"type": None}])]
+        if model["type"] != "BPE" or sorted(map(str, kinds)) != NORMALIZERS:
+            raise ValueError(f"{path} is no byte-pair vocabulary with the normalisers {NORMALIZERS}")
         vocabulary, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in file["added_tokens"]) or r"(?!)")
         self.piece = regex.compile(file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -114,7 +119,7 @@ def token_counts(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
     """One row for each row of df: id, n_bytes, n_tokens, over_limit.
 
     The tokenizer never joins what white space divides, so that words are counted one by one and their counts kept.
-    Null counts as empty: 0 bytes, 0 tokens. Other columns are not read. path must be readable on every executor; the
+    Null counts as empty: 0 bytes, 0 tokens. A file with another model or other normalisers raises. Other columns are not read. path must be readable on every executor; the
     default is the file of the installed package.
     """
 
