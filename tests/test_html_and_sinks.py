@@ -1,12 +1,14 @@
+import hashlib
 import io
 import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilscope.functions import hooks
 from veilscope.functions import unicode_tables as U
-from veilscope.operators import assurance, compare, detect, html
+from veilscope.operators import analysis, assurance, detect, html
 from veilscope.sinks import integrity, reports
 from veilscope.sources import readers
 
@@ -14,9 +16,9 @@ from veilscope.sources import readers
 @pytest.mark.parametrize(
     "page, visible, hidden",
     [
-        ('<p>Hello</p><div style="display:none">Ignore policy</div>', "Hello", ["Ignore policy"]),
-        ('<style>.secret { display:none }</style><p>Hello</p><span class="secret">machine only</span>', "Hello", ["machine only"]),
-        ("<style>p { color:red }</style><p>Hello</p>", "Hello", []),
+        ('<h1>Menu</h1><span style="visibility: hidden">soup</span>', "Menu", ["soup"]),
+        ("<style>#x, .off { opacity:0 } a { color:red }</style><i id=x>one</i><b class='big off'>two</b><a>three</a>", "three", ["one", "two"]),
+        ("<style>div.off { display:none }</style><div class=off>seen</div>", "seen", []),
         ('<p style="opacity:0.5">x</p>', "", ["x"]),
         ('<p style="background-color:transparent">x</p>', "x", []),
         ("<p hidden>a<p>b", "", ["a", "b"]),
@@ -24,6 +26,7 @@ from veilscope.sources import readers
         ("x &am", "", []),
         ("a<!-- open", "a", []),
         ('<br hidden>a<b aria-hidden="TRUE">c</b></i>d', "ad", ["c"]),
+        ("<ul hidden><li>a<li>b</ul>c", "c", ["a", "b"]),
     ],
 )
 def test_visibility(page, visible, hidden):
@@ -31,9 +34,10 @@ def test_visibility(page, visible, hidden):
     assert got["visible"] == visible and [x["text"] for x in got["hidden"]] == hidden
 
 
-def test_hidden_input():
-    got = html.read('<form><input type="hidden" value="secret"><p>Visible</p></form>')
-    assert got["visible"] == "Visible" and got["attrs"][0]["text"] == "secret"
+def test_hidden_reasons_and_inputs():
+    got = html.read('<div hidden style="left:-9999px">a<u class=k>b</u></div><input TYPE="Hidden" value="token" name=n><input value=w><noscript>js off</noscript>')
+    assert [(x["reason"], x["tag"]) for x in got["hidden"]] == [("hidden-attribute,css-hidden-inline", "div"), ("hidden-attribute,css-hidden-inline", "u")]
+    assert [x["text"] for x in got["attrs"]] == ["token"] and got["non_rendered"] == [{"text": "js off", "reason": "non-rendered-noscript", "tag": "noscript"}]
 
 
 def test_html_findings(spark):
@@ -41,41 +45,76 @@ def test_html_findings(spark):
     assert sorted((r["doc_id"], r["category"]) for r in detect.html_findings(pages).collect()) == [(1, "non-rendered-html"), (1, "render-observer-divergence")]
 
 
-def test_receipts_seals_bundles():
-    source = b"hello\xff"
-    report = integrity.receipted({"input": {"sha256": __import__("hashlib").sha256(source).hexdigest()}, "n": 1})
-    assert integrity.verify(report) and not integrity.verify(report | {"n": 2}) and not integrity.verify(None) and not integrity.verify({"receipt": {}})
-    sealed = integrity.seal(report)
-    assert integrity.verify_seal(report, sealed) and not integrity.verify_seal(report, sealed | {"key_id": "k"}) and not integrity.verify_seal(report, sealed, object())
-    data = integrity.bundle(report, source)
-    assert integrity.verify_bundle(data) and data == integrity.bundle(report, source) and not integrity.verify_bundle(b"x")
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
-        for n in old.namelist():
-            new.writestr(n, b"other" if n == "evidence.bin" else old.read(n))
-    assert not integrity.verify_bundle(out.getvalue())
+class Key:
+    """Signs by a keyed hash, as a stand-in for a signature library."""
+
+    def sign(self, data):
+        return hashlib.sha256(b"key" + data).digest()
+
+    def verify(self, mark, data):
+        if mark != self.sign(data):
+            raise RuntimeError("bad signature")
+
+
+def intact(source=b"some bytes\xfe"):
+    return integrity.receipted({"input": {"sha256": hashlib.sha256(source).hexdigest()}, "n": 1})
+
+
+def test_receipts():
+    report = intact()
+    assert integrity.verify(report) and not any(map(integrity.verify, (report | {"n": 2}, None, {"receipt": {}}, [], "x")))
     with pytest.raises(ValueError):
         integrity.canonical({"x": float("nan")})
 
 
+def test_seals():
+    report = intact()
+    plain, signed = integrity.seal(report), integrity.seal(report, Key(), "k1")
+    assert integrity.verify_seal(report, plain) and integrity.verify_seal(report, signed, Key())
+    for bad, key in ((plain | {"key_id": "k"}, None), (plain, Key()), (signed, None), (signed | {"key_id": "k2"}, Key()), (signed | {"signature": "AAAA"}, Key()), (plain | {"algorithm": "Ed25519"}, None), ({}, None), (None, None), (plain | {"schema": "other"}, None)):
+        assert not integrity.verify_seal(report, bad, key)
+    assert not integrity.verify_seal(integrity.receipted({"n": 3}), plain)
+    for arguments in ((report, Key()), (report | {"n": 2},)):
+        with pytest.raises(ValueError):
+            integrity.seal(*arguments)
+
+
+def test_bundles():
+    source = b"some bytes\xfe"
+    report = intact(source)
+    data = integrity.bundle(report, source)
+    assert integrity.verify_bundle(data) and data == integrity.bundle(report, source) and not integrity.verify_bundle(b"x") and not integrity.verify_bundle(None)
+    for changed in ({"evidence.bin": b"changed"}, {"more": b""}, {"report.json": b"{}"}, {"manifest.json": b"[]"}):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
+            for n in {**dict.fromkeys(old.namelist()), **changed}:
+                new.writestr(n, changed.get(n) if n in changed else old.read(n))
+        assert not integrity.verify_bundle(out.getvalue())
+    with pytest.raises(ValueError):
+        integrity.bundle(report, b"other")
+
+
 def test_reports(spark):
-    docs = spark.createDataFrame([(1, "first\nsecond​line"), (2, "plain <b>")], "doc_id long, text string")
-    found = detect.invisible(docs).drop("emoji_context")
-    place = reports.locations(found, docs).first()
-    assert (place["start_line"], place["start_col"], place["end_col"], place["level"]) == (2, 7, 8, "warning")
-    summary = compare.summary(docs, found)
-    rows = reports.reports(docs, summary, found)
-    rows = rows.withColumns({"t": reports.text_report(rows), "h": reports.html_report(rows), "r": integrity.with_receipt("report")}).orderBy("doc_id").collect()
-    assert "- None" in rows[1]["t"] and "&lt;b&gt;" in rows[1]["h"] and integrity.verify(json.loads(rows[0]["r"]))
-    runs = reports.sarif(found, docs)
-    assert json.loads(reports.sarif_file(runs).first()["sarif"])["runs"][0]["results"][0]["ruleId"] == "invisible-unicode"
-    assert reports.failed(summary)
+    docs = spark.createDataFrame([(1, "one two\nthr\u200bee"), (2, "plain <b>"), (3, None)], "doc_id long, text string")
+    rows = reports.reports(analysis.analyzed(docs, {}))
+    place = reports.locations(rows).first()
+    assert (place["start_line"], place["start_col"], place["end_col"], place["level"]) == (2, 4, 5, "warning")
+    out = rows.withColumns({"t": reports.text_report(rows), "h": reports.html_report(rows)}).orderBy("doc_id").collect()
+    assert "- None" in out[1]["t"] and "&lt;b&gt;" in out[1]["h"] and "Content-Security-Policy" in out[1]["h"] and integrity.verify(json.loads(out[0]["report"]))
+    assert "ZERO WIDTH SPACE" in out[0]["t"] and "<td>medium</td>" in out[0]["h"] and "No verdict: no-decoded-text" in out[2]["t"]
+    body = json.loads(out[0]["report"])
+    assert body["schema"] == reports.SCHEMA and body["findings"][0]["explanation"] and body["views"]["texts"]["machine"]["text"] == "one two\nthr\u200bee" and "summary" not in json.loads(out[2]["report"])
+    forged = rows.withColumn("report", F.replace("report", F.lit('"status":"admitted"'), F.lit('"status":"clean"')))
+    assert [r[0] for r in forged.filter("doc_id < 3").select(reports.html_report(forged)).collect()] == [None, None]
+    runs = json.loads(reports.sarif_file(reports.sarif(rows)).first()["sarif"])["runs"]
+    assert runs[0]["results"][0]["ruleId"] == "invisible-unicode" and runs[0]["results"][0]["message"]["text"] and runs[1]["results"] == [] and len(runs) == 2
+    assert reports.failed(rows) and not reports.failed(rows.filter("doc_id = 2"))
 
 
 def office(name):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr(name, "<root><t>pay​ment</t></root>")
+        z.writestr(name, "<r><a:t xmlns:a='u'>tick\u200bet</a:t><v>7</v><w>no</w></r>")
     return out.getvalue()
 
 
@@ -83,22 +122,46 @@ def test_sources(spark, tmp_path):
     for name, data in {"a.docx": office("word/document.xml"), "b.xlsx": office("xl/sharedStrings.xml"), "c.pptx": office("ppt/slides/slide1.xml"), "d.txt": b"abc\xffdef", "e.html": b"<p>x</p>", "f.bin": b"\0\1", "g.docx": b"no zip"}.items():
         (tmp_path / name).write_bytes(data)
     rows = {r["filename"]: r for r in readers.acquired(readers.files(spark, str(tmp_path))).collect()}
-    assert [rows[x]["text"] for x in ("a.docx", "b.xlsx", "c.pptx")] == ["pay​ment"] * 3
+    assert [rows[x]["text"] for x in ("a.docx", "b.xlsx", "c.pptx")] == ["tick\u200bet\n7"] * 3
     assert rows["d.txt"]["status"] == "undecodable" and rows["e.html"]["text"] == "<p>x</p>"
     assert rows["f.bin"]["reason"] == "binary" and rows["g.docx"]["status"] == "rejected"
     bad = detect.invalid_utf8(readers.files(spark, str(tmp_path)).filter("filename = 'd.txt'")).first()
     assert (bad["start"], bad["end"], bad["detail"]) == (3, 4, "ff")
 
 
+@pytest.mark.parametrize("change, message", [(dict(MAX_MEMBERS=0), "too many"), (dict(MAX_EXPANDED=1), "too much"), (dict(MAX_MEMBER=1), "too large"), (dict(MAX_RATIO=0), "too tightly")])
+def test_office_bounds(monkeypatch, change, message):
+    for k, v in change.items():
+        monkeypatch.setattr(readers, k, v)
+    with pytest.raises(ValueError, match=message):
+        readers.office_text(office("word/document.xml"))
+    with pytest.raises(ValueError, match="declares"):
+        readers.xml_texts(b"<!DOCTYPE x><t>a</t>")
+
+
+def test_first_bytes_tell_a_type(spark):
+    df = spark.createDataFrame([("a", b"%PDF-1.7"), ("b", b"PK\x03\x04rest"), ("c.txt", b"%PDF-"), ("d", b"text")], "name string, content binary")
+    got = [r[0] for r in df.orderBy("name").select(readers.content_type(F.col("name"), content=F.col("content"))).collect()]
+    assert got == ["application/pdf", readers.OFFICE, "text/plain", "application/octet-stream"]
+
+
+def test_large_files_are_not_read(spark, tmp_path):
+    (tmp_path / "small.txt").write_bytes(b"abc")
+    (tmp_path / "large.txt").write_bytes(b"x" * 100)
+    rows = {r["filename"]: r for r in readers.acquired(readers.files(spark, str(tmp_path), 50)).collect()}
+    assert rows["small.txt"]["text"] == "abc" and rows["large.txt"]["content"] is None and rows["large.txt"]["status"] == "rejected"
+
+
 def test_chunks(spark):
-    rows = [(1, 1, b"\xe2\x80\x8bment"), (1, 0, b"pay"), (2, 0, b"x" * 10)]
+    rows = [(1, 1, b"\xe2\x80\x8bet"), (1, 0, b"tick"), (1, 0, b"tick"), (2, 0, b"x" * 10), (3, 0, b"a"), (3, 2, b"c"), (4, 0, b"a"), (4, 0, b"b"), (5, 1, b"b")]
     out = {r["doc_id"]: r for r in readers.reassembled(spark.createDataFrame(rows, "doc_id long, seq int, chunk binary"), 9).collect()}
-    assert out[1]["content"] is None or bytes(out[1]["content"]).decode() == "pay​ment"
-    assert not out[2]["complete"] and out[2]["content"] is None
+    assert bytes(out[1]["content"]).decode() == "tick\u200bet" and out[1]["complete"] and out[1]["byte_length"] == 9
+    assert {i: out[i]["reason"] for i in (2, 3, 4, 5)} == {2: "over the cap", 3: "a chunk is missing", 4: "chunks differ under one number", 5: "a chunk is missing"}
+    assert all(out[i]["content"] is None and not out[i]["complete"] for i in (2, 3, 4, 5))
 
 
 def test_assurance(spark):
-    docs = spark.createDataFrame([(1, "paypal.com", "paypaⅼ.com", "admitted"), (2, "a", "b", "admitted"), (3, "same", "same", "admitted"), (4, None, None, "undecodable")], "doc_id long, visible string, expected_identity string, status string")
+    docs = spark.createDataFrame([(1, "\u2003hotel.org\n", "hoteⅼ.org", "admitted"), (2, "a", "b", "admitted"), (3, "same", "same", "admitted"), (4, None, None, "undecodable")], "doc_id long, visible string, expected_identity string, status string")
     edges = assurance.identity_edges(docs, U.default_confusables(spark) | {"ⅼ": "l"})
     assert {r["doc_id"]: r["materiality"] for r in edges.collect()} == {1: "potentially-material", 2: "context-dependent"}
     rolled = {r["doc_id"]: (r["disposition"], r["material"]) for r in assurance.rollup(docs, [edges]).collect()}
@@ -113,10 +176,29 @@ def test_claims(spark):
 
 
 def test_tokenizer_hook(spark):
-    from pyspark.sql import functions as F
-
     of = hooks.tokenizer(lambda t: t.split())
     row = hooks.model_views(spark.createDataFrame([(1, "a b", "a")], "doc_id long, m string, h string"), of, F.col("m"), F.col("h")).first()
     assert not row["equal"] and row["token_count_delta"] == 1
-    with pytest.raises(TypeError):
-        hooks.checked([True])
+    assert hooks.checked([1]) != hooks.checked(["1"])
+    for bad in ([True], [1.5], "ab", [None]):
+        with pytest.raises(TypeError):
+            hooks.checked(bad)
+
+
+def test_attached(spark):
+    rows = analysis.analyzed(spark.createDataFrame([(1, "plain", "other"), (2, "plain", None), (3, None, None)], "doc_id long, text string, model_text string"), {})
+    out = {r["doc_id"]: r for r in assurance.attached(rows, assurance.rollup(rows, [assurance.model_edges(rows)])).collect()}
+    assert out[1]["summary"]["material_divergence"] and out[1]["summary"]["assurance_disposition"] == "potentially-material"
+    assert not out[2]["summary"]["material_divergence"] and out[2]["assurance"]["coverage"]["model_input"] == "unavailable" and out[1]["assurance"]["coverage"]["model_input"] == "available"
+    assert out[3]["summary"] is None and out[3]["assurance"]["disposition"] == "unavailable" and not out[3]["assurance"]["complete"]
+
+
+def test_concealed_nodes(spark):
+    nodes = [[(False, "\u2003 "), (True, "x")], [(True, "a"), (False, "b")]]
+    df = spark.createDataFrame(list(enumerate(nodes)), "doc_id int, nodes array<struct<visible:boolean,text:string>>")
+    assert [(r["doc_id"], r["n"], r["sha256"]) for r in assurance.concealed(df).collect()] == [(1, 1, [hashlib.sha256(b"b").hexdigest()])]
+
+
+def test_behaviour(spark):
+    rows = hooks.behaviour(spark.createDataFrame([(1, "a", "a"), (2, "a", "b")], "doc_id long, machine_response string, human_response string"))
+    assert [r["materiality"] for r in rows.orderBy("doc_id").collect()] == ["none", "context-dependent"]

@@ -13,7 +13,10 @@ MAX_TOKENS, MAX_TOKEN_BYTES = 100_000, 4_000_000
 
 
 def tokenizer(encode: Callable[[str], list]):
-    """An Arrow UDF to array<string> from a function that gives ids or strings. Booleans, other types and too many raise."""
+    """An Arrow UDF to array<string> from a function that gives ids or strings. Booleans, other types and too many raise.
+
+    A token says what it was: `i:1` for the number and `s:1` for the string, so that the two are never equal.
+    """
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -27,7 +30,7 @@ def checked(tokens: list) -> list[str]:
         raise TypeError("a tokenizer gives a list of int or str")
     if len(tokens) > MAX_TOKENS or sum(len(str(t).encode()) for t in tokens) > MAX_TOKEN_BYTES:
         raise ValueError("tokenizer output exceeds limit")
-    return [str(t) for t in tokens]
+    return [f"{type(t).__name__[0]}:{t}" for t in tokens]
 
 
 def tiktoken(name: str):
@@ -36,7 +39,7 @@ def tiktoken(name: str):
     def encode(text: str) -> list:
         import tiktoken as library
 
-        return library.get_encoding(name).encode_ordinary(text)
+        return library.get_encoding(name).encode(text)
 
     return tokenizer(encode)
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import unicode_tables as U
 
 #: A fragment longer than this shows its head and tail only.
 FRAGMENT = 96
-#: Steps that find a common prefix of up to 2 ** STEPS - 1 characters, the most that a string can have.
-STEPS = 31
 TAG_RUN = r"[\x{E0000}-\x{E007E}]*\x{E007F}|[\x{E0000}-\x{E007E}]+"
 _TAG_CHARS = "".join(map(chr, range(0xE0020, 0xE007F))) + "".join(map(chr, [*range(0xE0000, 0xE0020), 0xE007F]))
 
@@ -26,6 +24,12 @@ def raw_hex(text: Column) -> Column:
     return F.lower(F.hex(F.encode(text, "UTF-8")))
 
 
+def odd(text: Column) -> Column:
+    """The distinct characters of a text beyond printable ASCII, in one short string that classes are looked up in."""
+    rest = F.regexp_replace(text, r"[ -~\t\n\r]+", "")
+    return F.when(rest == "", rest).otherwise(F.array_join(F.array_distinct(F.split(rest, "")), ""))
+
+
 def codepoint_name(cp: Column) -> Column:
     """U+ and at least four hexadecimal digits."""
     digits = F.hex(cp)
@@ -33,7 +37,7 @@ def codepoint_name(cp: Column) -> Column:
 
 
 def human_projection(text: Column) -> Column:
-    return F.regexp_replace(text, U.pattern("invisible"), "")
+    return F.regexp_replace(text, U.guarded(U.pattern("invisible")), "")
 
 
 def tag_stripped(text: Column) -> Column:
@@ -75,27 +79,75 @@ def skeleton(table: dict[str, str]):
     return run
 
 
+def forms(table: dict[str, str]):
+    """An Arrow UDF: normal forms and skeleton of a text at once. Null stays null; a caller gives it no ASCII texts."""
+    mapping = str.maketrans({k: v for k, v in table.items() if len(k) == 1})
+    own = {k: v for k, v in table.items() if k.isascii()}
+
+    @F.pandas_udf("nfc string, nfkc string, skeleton string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if t is None else (unicodedata.normalize("NFC", t), unicodedata.normalize("NFKC", t), unicodedata.normalize("NFD", unicodedata.normalize("NFD", t).translate(mapping))) for t in texts]
+        return pd.DataFrame(rows, columns=["nfc", "nfkc", "skeleton"], dtype=object)
+
+    return run, own
+
+
+def with_forms(docs: DataFrame, table: dict[str, str], text: Column) -> DataFrame:
+    """docs with the struct `forms`: nfc, nfkc, skeleton. ASCII texts are their own normal forms and never go to Python."""
+    run, own = forms(table)
+    rows = docs.withColumn("forms", run(F.when(text.rlike(r"[^\x00-\x7F]"), text)))
+    plain = mapped(text, own) if own else None
+    parts = [F.coalesce(f"forms.{x}", text if x != "skeleton" or plain is None else plain).alias(x) for x in ("nfc", "nfkc", "skeleton")]
+    return rows.withColumn("forms", F.struct(*parts))
+
+
+def mapped(text: Column, table: dict[str, str]) -> Column:
+    """text with each character of the table exchanged, all at once."""
+    ones, more = {k: v for k, v in table.items() if len(v) == 1}, {k: v for k, v in table.items() if len(v) != 1}
+    if any(c in more for v in table.values() for c in v):  # one after the other would exchange twice
+        pairs = F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+        return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    text = F.translate(text, "".join(ones), "".join(ones.values())) if ones else text
+    for k, v in more.items():
+        text = F.replace(text, F.lit(k), F.lit(v))
+    return text
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with the value computed once instead of in each of its uses."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(most: Column) -> Column:
+    """Powers of two that halve, from the largest that is no longer than `most`."""
+    return F.transform(F.sequence(F.log2(F.greatest(most, F.lit(1))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix, in STEPS comparisons of doubling runs rather than one for each character."""
-    most = F.least(F.length(a), F.length(b))
+    """Length of the common prefix, in comparisons of halving runs rather than one for each character."""
+
+    def longest(most: Column) -> Column:
+        def step(at: Column, run: Column) -> Column:
+            return F.when((run <= most - at) & (F.substr(a, at + 1, run) == F.substr(b, at + 1, run)), at + run).otherwise(at)
 
-    def step(at: Column, k: Column) -> Column:
-        far = at + F.expr("1") * F.pow(F.lit(2), k).cast("int")
-        return F.when((far <= most) & (F.substr(a, F.lit(1), far) == F.substr(b, F.lit(1), far)), far).otherwise(at)
+        return F.aggregate(_runs(most), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(STEPS - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
+    return _bind(F.least(F.length(a), F.length(b)), longest)
 
 
 def common_suffix(a: Column, b: Column, prefix: Column) -> Column:
     """Length of the common suffix that does not overlap the prefix."""
-    most = F.least(F.length(a), F.length(b)) - prefix
 
-    def step(at: Column, k: Column) -> Column:
-        far = at + F.pow(F.lit(2), k).cast("int")
-        same = F.substr(a, F.length(a) - far + 1, far) == F.substr(b, F.length(b) - far + 1, far)
-        return F.when((far <= most) & same, far).otherwise(at)
+    def longest(n: Column) -> Column:
+        most = F.least(n["a"], n["b"]) - n["prefix"]
+
+        def step(at: Column, run: Column) -> Column:
+            same = F.substr(a, n["a"] - at - run + 1, run) == F.substr(b, n["b"] - at - run + 1, run)
+            return F.when((run <= most - at) & same, at + run).otherwise(at)
+
+        return F.aggregate(_runs(most), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(STEPS - 1), F.lit(0), F.lit(-1)), F.lit(0), step)
+    return _bind(F.struct(F.length(a).alias("a"), F.length(b).alias("b"), prefix.alias("prefix")), longest)
 
 
 def fragment(text: Column, start: Column, end: Column) -> Column:

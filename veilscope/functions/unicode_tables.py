@@ -17,7 +17,6 @@ VARIATION = [(0xFE00, 0xFE0F), (0xE0100, 0xE01EF)]
 TAGS = (0xE0000, 0xE007F)
 CARRIERS = [0x034F, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 FLAGS = ["gbeng", "gbsct", "gbwls"]
-PINNED_SHA256 = "091c7f82"
 CYRILLIC = ("аАеЕоОрРсСуУхХіІјЈѕЅԁԌ", "aAeEoOpPcCyYxXiIjJsSdG")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαβικορτυχ", "ABEZHIKMNOPTYXabikoptux")
 SCRIPT_PREFIXES = {"LATIN ": "Latin", "CYRILLIC ": "Cyrillic", "GREEK ": "Greek", "HIRAGANA ": "Japanese", "KATAKANA ": "Japanese", "HANGUL ": "Korean", "CJK ": "Han", "HEBREW ": "Hebrew", "ARABIC ": "Arabic", "DEVANAGARI ": "Devanagari"}
@@ -56,6 +55,11 @@ def script(ch: str) -> str | None:
     return "Han" if "IDEOGRAPH" in name else "Other"
 
 
+def guarded(cls: str) -> str:
+    """A Java class that leaves out printable ASCII at once; most characters need no search of the class then."""
+    return f"(?![ -~]){cls}"
+
+
 def class_of(cps: list[int]) -> str:
     """A Java and RE2 character class of these code points; without any, a class that no character is in."""
     if not cps:
@@ -83,12 +87,20 @@ def pattern(name: str) -> str:
 
 @cache
 def script_classes() -> dict[str, str]:
-    """A class for each of the scripts that spoofing mixes."""
-    found: dict[str, list[int]] = {"Latin": [], "Cyrillic": [], "Greek": []}
-    for cp in range(0x20000):
-        if (s := script(chr(cp))) in found:
-            found[s].append(cp)
-    return {s: class_of(cps) for s, cps in found.items()}
+    """A class for each family of scripts."""
+    found: dict[str, list[int]] = {}
+    for cp in assigned():
+        if s := script(chr(cp)):
+            found.setdefault(s, []).append(cp)
+    return {s: class_of(cps) for s, cps in sorted(found.items())}
+
+
+@cache
+def names(kind: str) -> tuple[list[int], list[str]]:
+    """Code points of a class and their names."""
+    test = {"invisible": invisible}[kind]
+    cps = [cp for cp in assigned() if test(cp)]
+    return cps, [unicodedata.name(chr(cp), "UNNAMED") for cp in cps]
 
 
 def ucd(spark: SparkSession) -> DataFrame:
@@ -103,16 +115,12 @@ def ucd(spark: SparkSession) -> DataFrame:
 
 
 def parse_confusables(text: str) -> dict[str, str]:
-    """source -> target from lines `hex ; hex hex ; ...` with # comments; a source is one code point."""
-    found = {}
-    for line in text.splitlines():
-        fields = [x.strip() for x in line.partition("#")[0].lstrip("\ufeff").split(";")]
-        if len(fields) >= 2 and fields[0]:
-            source = fields[0].split()
-            if len(source) != 1:
-                raise ValueError("a confusable source must be one code point")
-            found[chr(int(source[0], 16))] = "".join(chr(int(x, 16)) for x in fields[1].split())
-    return found
+    """source -> target from lines `hex ; hex hex ; ...` with # comments; a source is one code point. Other lines raise."""
+    lines = (line.partition("#")[0].strip("\ufeff \t\r") for line in text.split("\n"))
+    pairs = [[[chr(int(x, 16)) for x in field.split()] for field in line.split(";")[:2]] for line in lines if line]
+    if any(len(p) < 2 or len(p[0]) != 1 or not p[1] for p in pairs):
+        raise ValueError("a line maps one code point to at least one")
+    return {p[0][0]: "".join(p[1]) for p in pairs}
 
 
 def pinned_confusables(data: bytes, sha256: str) -> dict[str, str]:
@@ -122,6 +130,13 @@ def pinned_confusables(data: bytes, sha256: str) -> dict[str, str]:
     return parse_confusables(data.decode("utf-8-sig"))
 
 
+def combined(table: dict[str, str], overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """A look-alike table with a caller's entries, which win. A source is one character."""
+    if any(len(k) != 1 for k in overrides or {}):
+        raise ValueError("a look-alike source is one character")
+    return {**table, **(overrides or {})}
+
+
 _ICU: dict[str, dict[str, str]] = {}
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .detect import MATERIALITY, level, named
 
 COLUMNS = ["doc_id", "boundary", "materiality", "reason", "finding_ids"]
-# Fixed values.
+# Boundaries, channels, nodes and hashes that are kept, and below the reasons of edges.
+MAX_NODES, MAX_HASHES = 2_000, 100
 CLAIM_BOUNDARIES = ["instruction", "authority", "identity", "destination", "executable", "financial", "other"]
 CHANNELS = ["raw_bytes", "unicode", "human_projection", "normalization", "hidden", "browser", "model_tokens", "model_input", "semantic", "lineage"]
 
@@ -22,8 +23,10 @@ def _edge(rows: DataFrame, boundary, materiality, reason: str, ids=None) -> Data
     return rows.select("doc_id", one[0].alias("boundary"), one[1].alias("materiality"), F.lit(reason).alias("reason"), none.alias("finding_ids"))
 
 
-def radial_edges(edged: DataFrame) -> DataFrame:
-    return _edge(edged.filter("relation = 'divergence'"), F.col("boundary"), F.col("materiality"), "representation-divergence", F.col("finding_ids"))
+def radial_edges(rows: DataFrame) -> DataFrame:
+    """rows: analysed documents, or doc_id and `edges`."""
+    each = rows.select("doc_id", F.explode_outer("edges").alias("e")).filter("e IS NOT NULL").select("doc_id", "e.*")
+    return _edge(each.filter("relation = 'divergence'"), F.col("boundary"), F.col("materiality"), "representation-divergence", F.col("finding_ids"))
 
 
 def identity_edges(docs: DataFrame, table: dict[str, str]) -> DataFrame:
@@ -51,9 +54,19 @@ def model_edges(docs: DataFrame) -> DataFrame:
     return _edge(docs.filter("model_text <> text"), "model-input", "potentially-material", "exact-model-input-differs")
 
 
+def _concealed() -> Column:
+    return F.filter(F.slice("nodes", 1, MAX_NODES), lambda n: ~n["visible"] & n["text"].rlike(r"(?U)\S"))
+
+
+def concealed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sha256: nodes that a browser hides, and hashes of the first of their texts."""
+    rows = docs.select("doc_id", _concealed().alias("x")).filter("size(x) > 0")
+    return rows.select("doc_id", F.size("x").alias("n"), F.slice(F.transform("x", lambda n: T.sha256(n["text"])), 1, MAX_HASHES).alias("sha256"))
+
+
 def browser_edges(docs: DataFrame) -> DataFrame:
     """docs: doc_id, nodes array<struct<visible,text>>."""
-    return _edge(docs.filter(F.exists("nodes", lambda n: ~n["visible"] & (F.trim(n["text"]) != ""))), "rendered-hidden-content", "potentially-material", "computed-style-hidden-text")
+    return _edge(docs.filter(F.size(_concealed()) > 0), "rendered-hidden-content", "potentially-material", "computed-style-hidden-text")
 
 
 def valid_claims(claims: DataFrame, views: DataFrame) -> DataFrame:
@@ -87,6 +100,28 @@ def rollup(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return rows.select("doc_id", F.when(here, named(F.col("most"), MATERIALITY)).otherwise("unavailable").alias("disposition"), F.when(here, F.coalesce(F.col("most") >= 2, F.lit(False))).alias("material"), F.coalesce("n", F.lit(0)).alias("edges"), F.lit(False).alias("complete"))
 
 
-def coverage(docs: DataFrame, have: dict[str, str]) -> DataFrame:
-    """doc_id and a column for each channel; `have` names the ones that were observed and how."""
-    return docs.select("doc_id", *[F.lit(have.get(c, "unavailable")).alias(c) for c in CHANNELS])
+#: How each channel is observed where the columns of an analysed document have it.
+OBSERVED = {"raw_bytes": ("text", "available"), "unicode": ("findings", "available"), "human_projection": ("visible", "heuristic"), "normalization": ("views.nfc", "available"), "hidden": ("hidden", "available"), "browser": ("browser_text", "available"), "model_tokens": ("machine_tokens", "available"), "model_input": ("model_text", "available"), "semantic": ("claims", "advisory"), "lineage": ("lineage", "supplied")}
+
+
+def coverage(rows: DataFrame) -> Column:
+    """A struct of CHANNELS for each analysed document: how the channel was observed, `unavailable` where it was not."""
+    def one(channel: str) -> Column:
+        column, how = OBSERVED[channel]
+        seen = F.col(column).isNotNull() if column.split(".")[0] in rows.columns else F.lit(False)
+        return F.when(seen, how).otherwise("unavailable").alias(channel)
+
+    return F.struct(*map(one, CHANNELS))
+
+
+def attached(rows: DataFrame, rolled: DataFrame) -> DataFrame:
+    """Analysed documents with the struct `assurance` (disposition, material, edges, complete, coverage); their summary gets
+    assurance_disposition, and is material if either is. Reports made of the result get receipts of their own. A document
+    without a verdict keeps a null summary.
+    """
+    parts = rolled.select("doc_id", F.struct("disposition", "material", "edges", "complete").alias("rolled"))
+    out = rows.withColumn("coverage", coverage(rows)).join(parts, "doc_id", "left")
+    out = out.withColumn("assurance", F.struct("rolled.*", "coverage"))
+    either = F.col("summary.material_divergence") | F.coalesce("rolled.material", F.lit(False))
+    with_it = F.struct("summary.finding_count", "summary.severity", either.alias("material_divergence"), "summary.categories", F.col("rolled.disposition").alias("assurance_disposition"))
+    return out.withColumn("summary", F.when(F.col("summary").isNotNull(), with_it)).drop("rolled", "coverage")

@@ -1,4 +1,4 @@
-"""Views of a text, their pairwise comparison, and materiality by boundary."""
+"""Views of a text, their pairwise comparison, and materiality by boundary, all inside the row."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .detect import MATERIALITY, SEVERITY, level, named
+from .detect import MATERIALITY, SEVERITY, level, named, once
 
 # The boundary of two views, and the categories that are evidence for it.
 BOUNDARIES = {
@@ -18,15 +18,23 @@ BOUNDARIES = {
     ("machine", "nfkc"): ("normalization", ["normalization"]),
     ("confusable_skeleton", "machine"): ("identity", ["confusable-homoglyph"]),
 }
+COMPARED = ["relation", "left_sha256", "right_sha256", "left_length", "right_length", "length_delta", "prefix", "suffix", "first_difference", "left_start", "left_end", "right_start", "right_end", "left_fragment", "right_fragment"]
 
 
-def with_views(docs: DataFrame, table: dict[str, str]) -> DataFrame:
-    """docs with one column for each view, prefixed `view_`; `html` and `browser_text` are used where they are there."""
-    human = F.col("html.visible") if "html" in docs.columns else T.human_projection(F.col("text"))
-    views = {"machine": F.col("text"), "human_projection": human, "nfc": T.normalized("NFC")("text"), "nfkc": T.normalized("NFKC")("text"), "tag_stripped": T.tag_stripped(F.col("text")), "confusable_skeleton": T.skeleton(table)("text")}
+def view_columns(docs: DataFrame, forms: Column) -> dict[str, Column]:
+    """The views by name. forms: nfc, nfkc, skeleton. `html` and `browser_text` are used where they are columns."""
+    text = F.col("text")
+    human = F.coalesce("html.visible", T.human_projection(text)) if "html" in docs.columns else T.human_projection(text)
+    views = {"machine": text, "human_projection": human, "nfc": forms["nfc"], "nfkc": forms["nfkc"], "tag_stripped": T.tag_stripped(text), "confusable_skeleton": forms["skeleton"]}
     if "browser_text" in docs.columns:
         views["browser_inner_text"] = F.col("browser_text")
-    return docs.withColumns({f"view_{k}": v for k, v in views.items()})
+    return views
+
+
+def with_views(docs: DataFrame, table: dict[str, str]) -> DataFrame:
+    """docs with one column for each view, prefixed `view_`."""
+    rows = T.with_forms(docs, table, F.col("text"))
+    return rows.withColumns({f"view_{k}": v for k, v in view_columns(docs, F.col("forms")).items()}).drop("forms")
 
 
 def names(viewed: DataFrame) -> list[str]:
@@ -42,57 +50,82 @@ def long_views(viewed: DataFrame) -> DataFrame:
 def comparisons(viewed: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row for each pair of views, names in order: relation, digests, lengths, and where the difference lies.
 
-    Pairs are made inside the row, without a join. Equal pairs have no first difference and no delta.
+    Pairs are made inside the row, without a join; each view is hashed and measured once. Equal pairs have no first
+    difference and no delta. A view that is null has no pairs.
     """
     pairs = pairs or list(combinations(names(viewed), 2))
-    some = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"view_{a}").alias("a"), F.col(f"view_{b}").alias("b")) for a, b in pairs])
-    rows = viewed.select("doc_id", F.explode(some).alias("p")).select("doc_id", "p.*").filter("a IS NOT NULL AND b IS NOT NULL")
-    rows = rows.withColumn("equal", F.col("a") == F.col("b"))
+    used = sorted({x for p in pairs for x in p})
+    rows = viewed.select("doc_id", *[once(F.col(f"view_{x}")).alias(f"view_{x}") for x in used], *[once(T.sha256(F.col(f"view_{x}"))).alias(f"hash_{x}") for x in used])
+    some = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), *[F.col(f"{p}_{x}").alias(n) for x, s in ((a, "a"), (b, "b")) for p, n in (("view", s), ("hash", f"hash_{s}"))]) for a, b in pairs])
+    rows = rows.select("doc_id", F.explode(some).alias("p")).select("doc_id", "p.*").filter("a IS NOT NULL AND b IS NOT NULL")
+    rows = rows.withColumn("equal", F.col("hash_a") == F.col("hash_b"))
     rows = rows.withColumn("prefix", F.when(F.col("equal"), F.length("a")).otherwise(T.common_prefix(F.col("a"), F.col("b"))))
     rows = rows.withColumn("suffix", F.when(F.col("equal"), 0).otherwise(T.common_suffix(F.col("a"), F.col("b"), F.col("prefix"))))
     sides = {}
     for side, text in (("left", "a"), ("right", "b")):
         end = F.length(text) - F.col("suffix")
-        sides |= {f"{side}_sha256": T.sha256(F.col(text)), f"{side}_length": F.length(text)}
+        sides |= {f"{side}_sha256": F.col(f"hash_{text}"), f"{side}_length": F.length(text)}
         sides |= {f"{side}_start": F.when(~F.col("equal"), F.col("prefix")), f"{side}_end": F.when(~F.col("equal"), end), f"{side}_fragment": F.when(~F.col("equal"), T.fragment(F.col(text), F.col("prefix"), end))}
     rows = rows.withColumns({"relation": F.when(F.col("equal"), "agreement").otherwise("divergence"), "first_difference": F.when(~F.col("equal"), F.col("prefix")), "length_delta": F.length("b") - F.length("a")} | sides)
-    return rows.drop("a", "b")
+    return rows.select("doc_id", "left", "right", "equal", *COMPARED)
 
 
-def edges(compared: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, left, right, boundary, relation, materiality, evidence_categories, finding_ids, first_difference.
+def edges_of(views: dict[str, Column], found: Column) -> Column:
+    """An array of edges, one for each boundary whose two views are there, from the views and the findings of a row.
 
-    A comparison under a boundary rule takes the findings of the rule's categories. Where it diverges and one side is
-    the machine's text, only findings that overlap the changed middle, or that have no place, count.
+    An edge takes the findings of the rule's categories. Where the views differ and one is the machine's text, only
+    findings that overlap the changed middle, or that have no place, count.
     """
-    spark = compared.sparkSession
-    rules = spark.createDataFrame([(a, b, name, c) for (a, b), (name, cs) in BOUNDARIES.items() for c in cs], "left string, right string, boundary string, category string")
-    source_start = F.when(F.col("left") == "machine", F.col("left_start")).when(F.col("right") == "machine", F.col("right_start"))
-    source_end = F.when(F.col("left") == "machine", F.col("left_end")).when(F.col("right") == "machine", F.col("right_end"))
-    ruled = compared.select("doc_id", "left", "right", "relation", "first_difference", source_start.alias("from"), source_end.alias("to"))
-    ruled = ruled.join(F.broadcast(rules), ["left", "right"])  # a dozen rows
-    f = found.select(F.col("doc_id").alias("f_doc"), F.col("category").alias("f_category"), "id", "materiality", "start", "end")
-    placed = F.col("from").isNull() | F.col("start").isNull() | F.col("end").isNull() | ((F.col("start") < F.col("to")) & (F.col("end") > F.col("from")))
-    joined = ruled.join(f, (F.col("doc_id") == F.col("f_doc")) & (F.col("category") == F.col("f_category")) & placed, "left")
-    out = joined.groupBy("doc_id", "left", "right", "boundary", "relation", "first_difference").agg(F.max(level(F.col("materiality"), MATERIALITY)).alias("most"), F.array_sort(F.collect_set("f_category")).alias("evidence_categories"), F.array_sort(F.collect_set("id")).alias("finding_ids"))
-    disposition = F.when(F.col("relation") == "agreement", "none").when(F.coalesce("most", F.lit(0)) > 0, named(F.col("most"), MATERIALITY)).otherwise("context-dependent")
-    return out.withColumn("materiality", disposition).drop("most")
-
-
-def radial(edged: DataFrame) -> DataFrame:
-    """doc_id, disposition, material, divergent, agreeing, promoted, boundaries: the rollup of a document's edges."""
-    place = level(F.col("materiality"), MATERIALITY)
-    differs = F.col("relation") == "divergence"
-    out = edged.groupBy("doc_id").agg(F.max(place).alias("most"), F.count_if(differs).alias("divergent"), F.count_if(~differs).alias("agreeing"), F.count_if(place >= 2).alias("promoted"), F.array_sort(F.collect_set(F.when(differs, F.col("boundary")))).alias("boundaries"))
-    return out.select("doc_id", named(F.col("most"), MATERIALITY).alias("disposition"), (F.col("most") >= 2).alias("material"), "divergent", "agreeing", "promoted", "boundaries")
-
-
-def summary(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, finding_count, severity, material_divergence, categories; documents without findings have a row too."""
-    material = F.col("materiality").isin(MATERIALITY[2:])
-    rolled = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(level(F.col("severity"), SEVERITY)).alias("most"), F.bool_or(material).alias("m"), F.array_sort(F.collect_set("category")).alias("c"))
-    rows = docs.select("doc_id").join(rolled, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("n", F.lit(0)).alias("finding_count"), named(F.col("most"), SEVERITY).alias("severity"), F.coalesce("m", F.lit(False)).alias("material_divergence"), F.coalesce("c", F.array().cast("array<string>")).alias("categories"))
+    here = {k: v for k, v in BOUNDARIES.items() if k[0] in views and k[1] in views}
+    return F.filter(F.array(*[_edge(pair, rule, views, found) for pair, rule in here.items()]), lambda e: e.isNotNull())
+
+
+def _edge(pair: tuple[str, str], rule: tuple[str, list[str]], views: dict[str, Column], found: Column) -> Column:
+    """The edge of two views; null if one is not there."""
+    x, y = views[pair[0]], views[pair[1]]
+    differs = x != y
+    machine = views["machine"] if "machine" in pair else None
+    relevant = F.filter(found, lambda f: f["category"].isin(rule[1]))
+
+    def overlapping(p: Column, end: Column) -> Column:
+        return F.filter(relevant, lambda f: f["start"].isNull() | f["end"].isNull() | ((f["start"] < end) & (f["end"] > p)))
+
+    def edge(p: Column) -> Column:
+        """p: the common prefix; null where the views agree."""
+        own = relevant
+        if machine is not None:
+            end = F.length(machine) - T.common_suffix(x, y, p)
+            placed = F.exists(relevant, lambda f: f["start"].isNotNull())  # else there is nothing to leave out
+            own = F.when(differs & placed, F.transform(F.array(end), lambda e: overlapping(p, e))[0]).otherwise(relevant)
+        most = F.aggregate(own, F.lit(0), lambda m, f: F.greatest(m, level(f["materiality"], MATERIALITY)))
+        parts = {"left": F.lit(pair[0]), "right": F.lit(pair[1]), "boundary": F.lit(rule[0]), "relation": F.when(differs, "divergence").otherwise("agreement")}
+        parts |= {"materiality": F.when(~differs, "none").otherwise(named(F.greatest(most, F.lit(1)), MATERIALITY)), "own": own, "first_difference": p}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    made = F.transform(F.array(F.when(differs, T.common_prefix(x, y))), edge)
+    kept = ["left", "right", "boundary", "relation", "materiality"]
+    done = F.transform(made, lambda e: F.struct(*[e[k].alias(k) for k in kept], _distinct(e["own"], "category").alias("evidence_categories"), _distinct(e["own"], "id").alias("finding_ids"), e["first_difference"].alias("first_difference")))
+    return F.when(x.isNotNull() & y.isNotNull(), done[0])
+
+
+def _distinct(found: Column, field: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(found, lambda f: f[field])))
+
+
+def radial_of(edges: Column) -> Column:
+    """disposition, material, divergent, agreeing, promoted, boundaries: the rollup of a row's edges."""
+    most = F.aggregate(edges, F.lit(0), lambda m, e: F.greatest(m, level(e["materiality"], MATERIALITY)))
+    differs = F.filter(edges, lambda e: e["relation"] == "divergence")
+    parts = {"disposition": named(most, MATERIALITY), "material": most >= 2, "divergent": F.size(differs), "agreeing": F.size(edges) - F.size(differs)}
+    parts |= {"promoted": F.size(F.filter(edges, lambda e: level(e["materiality"], MATERIALITY) >= 2)), "boundaries": F.array_sort(F.array_distinct(F.transform(differs, lambda e: e["boundary"])))}
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def summary_of(found: Column) -> Column:
+    """finding_count, severity, material_divergence, categories of an array of findings."""
+    most = F.aggregate(found, F.lit(0), lambda m, f: F.greatest(m, level(f["severity"], SEVERITY)))
+    material = F.exists(found, lambda f: f["materiality"].isin(MATERIALITY[2:]))
+    return F.struct(F.size(found).alias("finding_count"), named(most, SEVERITY).alias("severity"), material.alias("material_divergence"), F.array_sort(F.array_distinct(F.transform(found, lambda f: f["category"]))).alias("categories"))
 
 
 def lookalikes(docs: DataFrame, skeleton: Column, name_col: str = "text") -> DataFrame:
