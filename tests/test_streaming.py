@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from veilscope.functions import unicode_tables as U
@@ -20,7 +22,9 @@ def test_chunk_stream(spark, tmp_path):
         spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     query = detect_stream.assembled(stream, 10).writeStream.format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
+    until = time.time() + 90  # a processing-time timeout keeps the stream at work, so that it never idles
+    while spark.table("whole").count() < 2 and time.time() < until:
+        time.sleep(1)
     query.stop()
     rows = {r["doc_id"]: r for r in spark.table("whole").collect()}
     assert sorted(rows) == [1, 2] and bytes(rows[1]["content"]) == b"ticket" and rows[1]["complete"]

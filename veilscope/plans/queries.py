@@ -426,7 +426,7 @@ SQL = {
     "normalization_nfc": f"{_DOCS} SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256, nfc_normalize(text) <> text AS changed FROM d",
     "normalization_delta": f"{_DOCS} SELECT doc_id, sha256(replace(text, chr(65313), 'A')) AS nfkc_sha256, 'material' AS materiality FROM d WHERE contains(text, chr(65313))",
     "confusable_findings": f"{_DOCS} SELECT doc_id, length(text) - length(translate(text, 'оＡ', '')) AS n_positions, length(regexp_extract(text, '^[^оＡ]*')) AS first_position, concat_ws(',', CASE WHEN contains(text, 'о') THEN 'Cyrillic' END, CASE WHEN regexp_matches(text, '{_LATIN}') THEN 'Latin' END, CASE WHEN contains(text, 'Ａ') THEN 'Other' END) AS scripts, {_MIXED} AS mixed FROM d WHERE regexp_matches(text, '[оＡ]')",
-    "confusable_skeleton": f"""{_DOCS} SELECT doc_id, sha256(replace(replace(replace(translate(replace(text, '`', chr(39)), '01I|оＡÍçÇ', 'OllloAĺșȘ'), 'm', 'rn'), '"', chr(39) || chr(39)), '%', 'º/₀')) AS skeleton_sha256 FROM d""",
+    "confusable_skeleton": f"""{_DOCS} SELECT doc_id, sha256(replace(replace(replace(translate(replace(replace(replace(text, '`', chr(39)), 'ç', 'c' || chr(806)), 'Ç', 'C' || chr(806)), '01I|оＡÍ', 'OllloAĺ'), 'm', 'rn'), '"', chr(39) || chr(39)), '%', 'º/₀')) AS skeleton_sha256 FROM d""",
     "script_families": f"{_DOCS} SELECT doc_id, concat_ws(',', CASE WHEN contains(text, 'о') THEN 'Cyrillic' END, CASE WHEN regexp_matches(text, '{_LATIN}') THEN 'Latin' END, CASE WHEN contains(text, 'Ａ') THEN 'Other' END) AS scripts FROM d",
     "character_names": f"""{_CHARS}, k(cp, bidi, name) AS (VALUES (8203, 'BN', 'ZERO WIDTH SPACE'), (8205, 'BN', 'ZERO WIDTH JOINER'), (8206, 'L', 'LEFT-TO-RIGHT MARK'), (8238, 'RLO', 'RIGHT-TO-LEFT OVERRIDE'), (917576, 'BN', 'TAG LATIN CAPITAL LETTER H'), (917577, 'BN', 'TAG LATIN CAPITAL LETTER I'), (917607, 'BN', 'TAG LATIN SMALL LETTER G'), (917602, 'BN', 'TAG LATIN SMALL LETTER B'), (917605, 'BN', 'TAG LATIN SMALL LETTER E'), (917614, 'BN', 'TAG LATIN SMALL LETTER N'), (917631, 'BN', 'CANCEL TAG'))
 SELECT i.cp, 'Cf' AS category, k.bidi, k.name, '' AS script, count(*) AS n FROM i LEFT JOIN k USING (cp) GROUP BY ALL""",

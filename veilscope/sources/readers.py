@@ -110,7 +110,7 @@ def acquired(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"source_sha256": F.sha2("content", 256), "source_bytes": size})
     office, pdf = F.col("content_type").startswith("application/vnd.openxmlformats"), F.col("content_type") == "application/pdf"
     plain = F.col("content_type").startswith("text/") | F.col("content_type").isin(PASSED)
-    small = F.col("source_bytes") <= MAX_BYTES
+    small = (F.col("source_bytes") <= MAX_BYTES) & F.col("content").isNotNull()
     texts = rows.filter(small & plain).withColumn("text", F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))).withColumn("reason", F.when(F.col("text").isNull(), "invalid-utf8"))
     out = [texts]
     for kind, of in ((office, office_text), (pdf, pdf_text)):
