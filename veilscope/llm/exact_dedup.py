@@ -36,6 +36,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     best = F.max(F.struct("size", F.bitwise_not("id").alias("first"))).alias("best")  # ~id falls as id rises, without overflow
     groups = rows.groupBy("digest", "salt", "content").agg(F.collect_list(F.struct("id")).alias("members"), best)
     groups = common.saved(spark, groups.withColumn("group", F.monotonically_increasing_id()), "groups")
+    common.collected(spark)  # nothing refers to the first shuffle any more
     same = Window.partitionBy("digest", "content")
     winners = groups.select("group", "digest", "content", "best", "salt", F.size("members").alias("n"))
     winners = winners.select(
