@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that an Arrow operator works on at a time.
 CHUNK_BYTES = 4_000_000
 _ROOTS: dict[str, str] = {}
+#: What the operator that a Python worker last ran keeps between its tasks: one entry.
+_KEPT: dict[Any, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a batch of long texts fits a Python worker."""
+    """Small Arrow batches, by rows and by bytes, so that a batch of long texts fits an executor and its Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -77,6 +82,39 @@ def collected(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once in a Python worker, until another key is asked for or an operator without a model runs."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forgotten() -> None:
+    _KEPT.clear()
+
+
+def given_back() -> None:
+    """Free memory of this Python worker goes back to the system: the worker stays for other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, without a model that an earlier operator kept (keep: its own stays), and with free memory given back at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forgotten()
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS, PERCENT = 5, 80
+#: Bytes of text whose shingles are made at a time, which take many times that.
+PIECE = 1_000_000
 #: Counters of the frequency sketch, 1 byte each when broadcast, and counters in a row while it is summed.
 SKETCH, CHUNK = 1 << 22, 1 << 16
 #: Prefix entries for each shard of meetings; shingles in a shard of tries.
@@ -78,7 +80,7 @@ def sketch(spark: SparkSession, texts: DataFrame, size: int = SKETCH) -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
-        for _, t in common.pieces(batches):
+        for _, t in common.pieces(batches, most=PIECE):
             at, n = np.unique(shingles(t)[0] % np.uint64(size), return_counts=True)
             total[at] += n.astype(np.uint32)
         for c in range(0, size, CHUNK):
@@ -92,7 +94,7 @@ def sketch(spark: SparkSession, texts: DataFrame, size: int = SKETCH) -> np.ndar
             total += np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
 
-    parts = texts.mapInArrow(run, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
+    parts = texts.mapInArrow(common.lean(run), "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary")
     out = np.zeros(size, np.uint8)
     for r in parts.toLocalIterator():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["level"], np.uint8)
@@ -228,7 +230,7 @@ class Join:
         levels, percent = self.levels, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in common.pieces(batches):
+            for batch, texts in common.pieces(batches, most=PIECE):
                 values, counts = shingles(texts)
                 edges, sorted_ = common.bounds(counts), ordered(values, counts, levels.value)
                 digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
@@ -237,7 +239,7 @@ class Join:
                 home = np.append(sorted_, np.uint64(0)).view(np.int64)[edges[:-1]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(home), pa.array(prefixes, pa.binary())], ["id", "n", "digest", "parities", "home", "prefix"])
 
-        return common.saved(self.spark, self.docs.mapInArrow(run, "id long, n long, digest binary, parities binary, home long, prefix binary"), "sets")
+        return common.saved(self.spark, self.docs.mapInArrow(common.lean(run), "id long, n long, digest binary, parities binary, home long, prefix binary"), "sets")
 
     def hot(self, classes: DataFrame, entries: int) -> tuple[np.ndarray, np.ndarray]:
         """Shingles in the prefixes of very many sets, and the blocks that their members are dealt to, by a sample of sets."""
@@ -248,7 +250,7 @@ class Join:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"))], ["shingle"])
 
-        some = classes.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("prefix").mapInArrow(run, "shingle long")
+        some = classes.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("prefix").mapInArrow(common.lean(run), "shingle long")
         rows = some.groupBy("shingle").count().filter(F.col("count") >= SEEN).orderBy("shingle").collect()  # at most HOT, about
         blocks = np.array([-(-r["count"] * every // BLOCK) for r in rows], np.int64)
         values = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
@@ -313,7 +315,7 @@ class Join:
             one = edges[:-1][several]
             return pa.table({"shingle": pa.array(values[one].view(np.int64)), "block": pa.array(block[one]), "blocks": pa.array(blocks[one]), "members": members})
 
-        dealt = classes.select("id", "n", "prefix").mapInArrow(deal, "shard int, values binary, ids binary, sizes binary, reaches binary")
+        dealt = classes.select("id", "n", "prefix").mapInArrow(common.lean(deal), "shard int, values binary, ids binary, sizes binary, reaches binary")
         met = dealt.groupBy("shard").applyInArrow(meet, "shingle long, block long, blocks long, members array<struct<n:long,id:long,reach:long>>")
         return common.saved(self.spark, met, "meetings")
 
@@ -387,7 +389,7 @@ class Join:
         def sent(both: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
-        return rows.mapInArrow(run, "a long, b long").distinct()
+        return rows.mapInArrow(common.lean(run), "a long, b long").distinct()
 
     def possible(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and parities allow a link; written once. sets: id, n, parities; rows that repeat an id give one pair."""
@@ -404,7 +406,7 @@ class Join:
             return sets.select("id", "n", "parities").toDF(name, *columns)
 
         rows = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").select("a", "b", "n", "m", "p", "q")
-        return common.saved(self.spark, rows.mapInArrow(run, "a long, b long").distinct(), "possible")
+        return common.saved(self.spark, rows.mapInArrow(common.lean(run), "a long, b long").distinct(), "possible")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Links that tie together all that the pairs' links tie; written once. pairs: a, the probe, and b, the stored set.
@@ -432,7 +434,7 @@ class Join:
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compress = zstandard.ZstdCompressor(3).compress
-            for batch, t in common.pieces(batches):
+            for batch, t in common.pieces(batches, most=PIECE):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(compress, t)), pa.binary())], ["id", "blob"])
 
         def opened(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
@@ -479,9 +481,9 @@ class Join:
                         new = [(ids[p], i) for p, i in found if ids[p] != i and forest.tie(ids[p], i)]
                         yield pa.RecordBatch.from_arrays([pa.array([l[k] for l in new], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        rows = roles.join(texts.mapInArrow(small, "id long, blob binary"), "id")
+        rows = roles.join(texts.mapInArrow(common.lean(small), "id long, blob binary"), "id")
         rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "probe", "id").select("bucket", "part", "probe", "id", "blob")
-        return common.saved(self.spark, rows.mapInArrow(check, "a long, b long"), "links")
+        return common.saved(self.spark, rows.mapInArrow(common.lean(check), "a long, b long"), "links")
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:

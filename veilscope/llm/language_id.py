@@ -28,7 +28,6 @@ UNIT = 4.0
 #: A document is rejected if the score, the softmax of the sizes, is below this, or fewer bytes than NARROW tell the best two apart.
 MARGIN, NARROW = 0.36, 1
 _OTHER, _OTHER_ASCII = regex.compile(r"\P{L}+"), regex.compile("[^a-z]+")
-_MADE: dict[tuple, list] = {}
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
@@ -61,15 +60,16 @@ def prepared(text: str) -> bytes:
 
 def coders(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstandard.ZstdCompressor]:
     """Compressors with digested dictionaries, made once in each Python worker."""
-    if (key := (hash(model), level)) not in _MADE:
-        _MADE.clear()
+
+    def make() -> list[zstandard.ZstdCompressor]:
         made = []
         for _, content in model:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             made.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False))
-        _MADE[key] = made
-    return _MADE[key]
+        return made
+
+    return common.kept((hash(model), level), make)
 
 
 def scored(batches: Iterator[pa.RecordBatch], model: tuple[tuple[str, bytes], ...], text: str, level: int, unit: float, margin: float) -> Iterator[tuple[pa.RecordBatch, list[str], list[float], list[bool]]]:
@@ -105,7 +105,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(common.lean(run, keep=True), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -117,7 +117,7 @@ def accepted(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
         for batch, _, _, rejected in scored(batches, model, text_col, level, unit, margin):
             yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run, keep=True), df.schema)
 
 
 def learned(docs: DataFrame) -> dict[str, bytes]:

@@ -95,7 +95,7 @@ def cut(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), p, pa.array(np.array(piece, np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(common.lean(run), f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def reduced(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -249,7 +249,7 @@ def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_i
     order = Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")
     ranked = done.withColumn("n", F.row_number().over(order))
     kind = done.schema["id"].dataType.simpleString()
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "part", "n").mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "part", "n").mapInArrow(common.lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
