@@ -119,12 +119,13 @@ def office(name):
 
 
 def test_sources(spark, tmp_path):
-    for name, data in {"a.docx": office("word/document.xml"), "b.xlsx": office("xl/sharedStrings.xml"), "c.pptx": office("ppt/slides/slide1.xml"), "d.txt": b"abc\xffdef", "e.html": b"<p>x</p>", "f.bin": b"\0\1", "g.docx": b"no zip"}.items():
+    for name, data in {"a.docx": office("word/document.xml"), "b.xlsx": office("xl/sharedStrings.xml"), "c.pptx": office("ppt/slides/slide1.xml"), "d.txt": b"abc\xffdef", "e.html": b"<p>x</p>", "f.bin": b"\0\1", "h.bin": b"STEP\n", "g.docx": b"no zip"}.items():
         (tmp_path / name).write_bytes(data)
     rows = {r["filename"]: r for r in readers.acquired(readers.files(spark, str(tmp_path))).collect()}
     assert [rows[x]["text"] for x in ("a.docx", "b.xlsx", "c.pptx")] == ["tick\u200bet\n7"] * 3
     assert rows["d.txt"]["status"] == "undecodable" and rows["e.html"]["text"] == "<p>x</p>"
-    assert rows["f.bin"]["reason"] == "binary" and rows["g.docx"]["status"] == "rejected"
+    assert rows["f.bin"]["reason"] == "binary" and rows["h.bin"]["reason"] == "unsupported format"
+    assert rows["g.docx"]["status"] == "rejected"
     bad = detect.invalid_utf8(readers.files(spark, str(tmp_path)).filter("filename = 'd.txt'")).first()
     assert (bad["start"], bad["end"], bad["detail"]) == (3, 4, "ff")
 
@@ -177,7 +178,8 @@ def test_claims(spark):
 
 def test_tokenizer_hook(spark):
     of = hooks.tokenizer(lambda t: t.split())
-    row = hooks.model_views(spark.createDataFrame([(1, "a b", "a")], "doc_id long, m string, h string"), of, F.col("m"), F.col("h")).first()
+    row, gone = hooks.model_views(spark.createDataFrame([(1, "a b", "a"), (2, None, None)], "doc_id long, m string, h string"), of, F.col("m"), F.col("h")).orderBy("doc_id").collect()
+    assert gone["equal"] is None and gone["token_count_delta"] is None
     assert not row["equal"] and row["token_count_delta"] == 1
     assert hooks.checked([1]) != hooks.checked(["1"])
     for bad in ([True], [1.5], "ab", [None]):

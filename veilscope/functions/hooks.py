@@ -59,9 +59,9 @@ _PROCESSORS: dict = {}
 
 
 def model_views(docs: DataFrame, of, machine: Column, human: Column) -> DataFrame:
-    """doc_id, machine_tokens, human_tokens, equal, token_count_delta."""
+    """doc_id, machine_tokens, human_tokens, equal, token_count_delta; null where a view is."""
     rows = docs.select("doc_id", of(machine).alias("machine_tokens"), of(human).alias("human_tokens"))
-    return rows.withColumns({"equal": F.col("machine_tokens") == F.col("human_tokens"), "token_count_delta": F.size("machine_tokens") - F.size("human_tokens")})
+    return rows.withColumns({"equal": F.col("machine_tokens") == F.col("human_tokens"), "token_count_delta": F.array_size("machine_tokens") - F.array_size("human_tokens")})
 
 
 def behaviour(rows: DataFrame) -> DataFrame:

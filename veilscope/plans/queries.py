@@ -229,8 +229,10 @@ def invalid_utf8(spark, sf_dir):
 
 
 def model_tokens(spark, sf_dir):
+    """Tokens of both views, under the budgets of an analysis; a document beyond them has no tokens, which is not equality."""
     of = hooks.tokenizer(lambda t: t.split(" "))
-    rows = hooks.model_views(evidence(spark, sf_dir).filter("length(text) < 20000"), of, F.col("text"), T.human_projection(F.col("text")))
+    text = F.when(F.col("status") == "admitted", F.col("text"))
+    rows = hooks.model_views(detect.admitted(evidence(spark, sf_dir)), of, text, T.human_projection(text))
     edges = assurance.token_edges(rows).select("doc_id", "materiality")
     return rows.select("doc_id", "equal", "token_count_delta").join(edges, "doc_id", "left")
 
@@ -257,7 +259,7 @@ def claim_edges(spark, sf_dir):
     k = F.col("doc_id") % 5
     part = F.substring("text", 1, 3)
     span = F.struct(F.lit("machine").alias("view"), F.lit(0).alias("start"), F.when(k == 3, 1 << 30).otherwise(3).alias("end"), F.when(k == 1, "zzzz").when(k == 2, part).alias("text"), F.when(k == 4, T.sha256(part)).alias("sha256"))
-    docs = _table(spark, sf_dir, "documents").filter("length(text) >= 3")
+    docs = _table(spark, sf_dir, "documents")
     claims = docs.select("doc_id", F.lit("identity").alias("boundary"), F.lit("material").alias("materiality"), F.array(span).alias("evidence"), F.lit("as seen").alias("explanation"))
     checked = assurance.valid_claims(claims, docs.select("doc_id", F.col("text").alias("machine"), F.col("text").alias("human")))
     return assurance.claim_edges(checked).select("doc_id", "boundary", "materiality")
@@ -274,19 +276,19 @@ def assurance_rollup(spark, sf_dir):
 
 def request_boundary(spark, sf_dir):
     k = F.col("doc_id") % 8
-    name = F.concat(F.lit('"'), F.col("lang"), F.lit('"'))
+    name = F.concat(F.lit('"'), F.coalesce("lang", F.lit("und")), F.lit('"'))
     sent = F.when(k == 0, F.concat(F.lit('{"text":'), name, F.lit("}"))).when(k == 1, F.lit('{"text":5}')).when(k == 2, F.concat(F.lit('{"provenance":[],"text":'), name, F.lit("}")))
     sent = sent.when(k == 3, F.lit("[1]")).when(k == 4, F.concat(F.lit('{"browser":true,"text":'), name, F.lit("}"))).when(k == 5, F.concat(F.lit('{"browser":true,"content_type":"TEXT/HTML; x","provenance":{"a":1},"text":'), name, F.lit("}")))
     sent = sent.when(k == 6, F.concat(F.lit('{"browser":1,"text":'), name, F.lit("}"))).otherwise(F.concat(F.lit('{"content_type":"'), F.repeat(F.lit("x"), 201), F.lit('","text":'), name, F.lit("}")))
-    rows = readers.requests(_table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select("doc_id", sent.alias("request")))
+    rows = readers.requests(_table(spark, sf_dir, "documents").select("doc_id", sent.alias("request")))
     return rows.select("doc_id", "text", "content_type", "provenance", "status", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 def acquired_formats(spark, sf_dir):
     """Bytes under different names: texts, an unknown type, bytes with zeros, no UTF-8, and a broken document."""
     k = F.col("doc_id") % 6
-    raw = F.encode(F.substring("text", 1, 50), "UTF-8")
-    content = F.when(k == 2, F.concat(raw, F.unhex(F.lit("0000")))).when(k == 3, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    raw = F.encode("text", "UTF-8")
+    content = F.when(k == 2, F.concat(F.unhex(F.lit("0000")), raw)).when(k == 3, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
     name = F.when(k == 0, "a.TXT").when(k == 1, "a.json").when(k == 2, "a.bin").when(k == 3, "a.html").when(k == 4, "a.docx").otherwise("a")
     rows = _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), name.alias("filename"))
     out = readers.acquired(rows.withColumn("content_type", readers.content_type(F.col("filename"), content=F.col("content"))))
@@ -349,7 +351,7 @@ def receipts(spark, sf_dir):
 
 def bundles(spark, sf_dir):
     """Bundles of a report and its bytes: read back whole, and as the bundle of other bytes."""
-    rows = evidence(spark, sf_dir).filter("doc_id % 10 = 1").select("doc_id", F.encode("text", "UTF-8").alias("source"), integrity.with_receipt(F.to_json(F.struct(reports.given(F.col("text")).alias("input")))).alias("report"))
+    rows = evidence(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("source"), integrity.with_receipt(F.to_json(F.struct(reports.given(F.col("text")).alias("input")))).alias("report"))
     rows = rows.withColumn("bundle", integrity.bundled("report", "source"))
     return rows.select("doc_id", integrity.bundle_holds("bundle").alias("holds"), integrity.bundle_holds(F.concat(F.substring("bundle", 1, 40), F.unhex(F.lit("00")), F.expr("substring(bundle, 42)"))).alias("changed_holds"))
 
@@ -446,13 +448,13 @@ SELECT i.cp, 'Cf' AS category, k.bidi, k.name, '' AS script, count(*) AS n FROM
     "budget_rejects": f"{_DOCS} SELECT doc_id, CASE WHEN length(text) > 5000 OR strlen(text) > 256000 THEN 'rejected' ELSE 'admitted' END AS status, CASE WHEN length(text) > 5000 OR strlen(text) > 256000 THEN 'full-evidence analysis limit exceeded' ELSE '' END AS reason FROM d",
     "lexical_units": "SELECT doc_id, len(regexp_extract_all(text, '[0-9A-Za-z_À-ÖØ-öø-ÿ]+|[^0-9A-Za-z_À-ÖØ-öø-ÿ\\s]')) AS token_count FROM documents",
     "invalid_utf8": f"""{_DOCS} SELECT doc_id, strlen(text) AS "start", strlen(text) + 1 AS "end", 'ff' AS detail, 'high' AS severity FROM d WHERE doc_id % 10 < 3""",
-    "model_tokens": f"{_DOCS}, t AS (SELECT doc_id, text, regexp_replace(text, '{_INVISIBLE}', '', 'g') AS v FROM d WHERE length(text) < 20000) SELECT doc_id, text = v AS equal, len(string_split(text, ' ')) - len(string_split(v, ' ')) AS token_count_delta, CASE WHEN text <> v THEN 'context-dependent' END AS materiality FROM t",
+    "model_tokens": f"{_DOCS}, t AS (SELECT doc_id, text, regexp_replace(text, '{_INVISIBLE}', '', 'g') AS v FROM (SELECT doc_id, CASE WHEN length(text) <= 64000 AND strlen(text) <= 256000 THEN text END AS text FROM d)) SELECT doc_id, text = v AS equal, len(string_split(text, ' ')) - len(string_split(v, ' ')) AS token_count_delta, CASE WHEN text <> v THEN 'context-dependent' END AS materiality FROM t",
     "identity_edges": "WITH t AS (SELECT doc_id, trim(regexp_extract(text, '^[A-Za-z ]*')) AS n FROM documents) SELECT doc_id, 'identity' AS boundary, CASE doc_id % 3 WHEN 1 THEN 'potentially-material' ELSE 'context-dependent' END AS materiality, 'declared-identity-mismatch' AS reason FROM t WHERE doc_id % 3 = 2 OR (doc_id % 3 = 1 AND contains(n, 'o'))",
     "observer_edges": f"{_DOCS} SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'model-input' WHEN 3 THEN 'rendered-hidden-content' ELSE 'hidden-content' END AS boundary, 'potentially-material' AS materiality, CASE doc_id % 10 WHEN 4 THEN 'unicode-tags:0' ELSE '' END AS finding_ids FROM d WHERE doc_id % 10 IN (0, 3, 4)",
     "claim_edges": "SELECT doc_id, 'identity' AS boundary, 'material' AS materiality FROM documents WHERE length(text) >= 3 AND doc_id % 5 NOT IN (1, 3)",
     "assurance_rollup": f"{_EDGES}, g AS (SELECT doc_id, max(m) AS m, count(*) FILTER (relation = 'divergence') AS c FROM e GROUP BY doc_id), o AS (SELECT d.doc_id, length(text) <= 5000 AS here, CASE WHEN doc_id % 10 = 0 THEN greatest(m, 2) ELSE m END AS m, c + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS c, coalesce((SELECT max(mat) FROM f WHERE f.doc_id = d.doc_id) >= 2, false) AS own FROM d JOIN g USING (doc_id)) SELECT doc_id, CASE WHEN here THEN {_MAT}[m + 1] ELSE 'unavailable' END AS disposition, CASE WHEN here THEN m >= 2 END AS material, CASE WHEN here THEN c ELSE 0 END AS edges, CASE WHEN here THEN own OR m >= 2 END AS summary_material, CASE WHEN doc_id % 10 = 0 THEN 'available' ELSE 'unavailable' END AS model_input, CASE WHEN here THEN 'available' ELSE 'unavailable' END AS hidden FROM o",
-    "request_boundary": f"""SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 5) THEN lang END AS text, CASE doc_id % 8 WHEN 0 THEN 'text/plain' WHEN 5 THEN 'TEXT/HTML; x' END AS content_type, CASE WHEN doc_id % 8 = 5 THEN '{{"a":1}}' END AS provenance, CASE WHEN doc_id % 8 IN (0, 5) THEN 'admitted' ELSE 'rejected' END AS status, ['', 'text is no string', 'provenance is no object', 'not an object', 'a browser needs HTML', '', 'browser is no boolean', 'content_type is no short string'][doc_id % 8 + 1] AS reason FROM documents WHERE lang IS NOT NULL""",
-    "acquired_formats": """SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN 'admitted' WHEN doc_id % 6 = 3 THEN 'undecodable' ELSE 'rejected' END AS status, ['', '', 'binary', 'invalid-utf8', 'BadZipFile', 'unsupported format'][doc_id % 6 + 1] AS reason, sha256(CASE WHEN doc_id % 6 IN (0, 1) THEN substr(text, 1, 50) ELSE '' END) AS text_sha256, strlen(substr(text, 1, 50)) + CASE doc_id % 6 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS source_bytes FROM documents""",
+    "request_boundary": f"""SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 5) THEN coalesce(lang, 'und') END AS text, CASE doc_id % 8 WHEN 0 THEN 'text/plain' WHEN 5 THEN 'TEXT/HTML; x' END AS content_type, CASE WHEN doc_id % 8 = 5 THEN '{{"a":1}}' END AS provenance, CASE WHEN doc_id % 8 IN (0, 5) THEN 'admitted' ELSE 'rejected' END AS status, ['', 'text is no string', 'provenance is no object', 'not an object', 'a browser needs HTML', '', 'browser is no boolean', 'content_type is no short string'][doc_id % 8 + 1] AS reason FROM documents""",
+    "acquired_formats": """SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN 'admitted' WHEN doc_id % 6 = 3 THEN 'undecodable' ELSE 'rejected' END AS status, ['', '', 'binary', 'invalid-utf8', 'BadZipFile', 'unsupported format'][doc_id % 6 + 1] AS reason, sha256(CASE WHEN doc_id % 6 IN (0, 1) THEN text ELSE '' END) AS text_sha256, strlen(text) + CASE doc_id % 6 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS source_bytes FROM documents""",
     "html_comments": _PAGE + """ SELECT page_id, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comments, contains(html, '<div hidden>secret')::INT AS secrets, contains(html, '<input type="hidden" value="v">')::INT AS attributes FROM p""",
     "html_visibility": _PAGE + f""" SELECT page_id, sha256({_SEEN}) AS visible_sha256, contains(html, '<div hidden>secret')::INT AS hidden, len(regexp_extract_all(html, '(?s)<(?:style|script)[^>]*>.*?\\S.*?</')) AS non_rendered, '' AS selectors FROM p""",
     "html_fragments": _PAGE + """, n AS (SELECT contains(html, '<div hidden>secret') AS h, len(regexp_extract_all(html, '(?s)<style[^>]*>.*?</style>')) AS s, len(regexp_extract_all(html, '(?s)<script[^>]*>.*?</script>')) AS j FROM p) SELECT 'hidden' AS kind, 'hidden-attribute' AS reason, 'div' AS tag, count(*) FILTER (h) AS n FROM n UNION ALL SELECT 'non_rendered', 'non-rendered-style', 'style', sum(s) FROM n UNION ALL SELECT 'non_rendered', 'non-rendered-script', 'script', sum(j) FROM n""",
@@ -460,5 +462,5 @@ SELECT i.cp, 'Cf' AS category, k.bidi, k.name, '' AS script, count(*) AS n FROM
     "page_edges": _PAGE + """, o AS (SELECT page_id, contains(html, '<div hidden>secret') OR contains(html, '<input type="hidden" value="v">') AS h FROM p) SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'divergence' ELSE 'agreement' END AS relation, CASE WHEN page_id % 2 = 1 THEN 'none' WHEN NOT h THEN 'potentially-material' ELSE 'material' END AS materiality, concat_ws(',', CASE WHEN h THEN 'hidden-html-css' END, CASE WHEN page_id % 2 = 0 THEN 'render-observer-divergence' END) AS categories FROM o""",
     "stream_reassembly": f"{_DOCS} SELECT doc_id, CASE WHEN doc_id % 10 NOT IN (2, 3) THEN strlen(text) END AS byte_length, CASE WHEN doc_id % 10 NOT IN (2, 3) THEN sha256(text) END AS sha256, doc_id % 10 <> 3 AND (doc_id % 10 <> 2 OR strlen(text) <= 1000) AS complete FROM d WHERE length(text) > 0",
     "receipts": f"""{_SUMS}, j AS (SELECT doc_id, '{{"input":{{"byte_length":' || strlen(text) || ',"char_length":' || length(text) || ',"sha256":"' || sha256(text) || '"}},"summary":{{"categories":[' || array_to_string(list_transform(categories, lambda c: '"' || c || '"'), ',') || '],"finding_count":' || n || ',"material_divergence":' || material || ',"severity":"' || severity || '"}}}}' AS body FROM u) SELECT doc_id, sha256(body) AS receipt, true AS verified, false AS tampered_verified FROM j""",
-    "bundles": f"{_DOCS} SELECT doc_id, true AS holds, false AS changed_holds FROM d WHERE doc_id % 10 = 1",
+    "bundles": f"{_DOCS} SELECT doc_id, true AS holds, false AS changed_holds FROM d",
 }

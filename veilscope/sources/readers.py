@@ -116,7 +116,7 @@ def acquired(rows: DataFrame) -> DataFrame:
     for kind, of in ((office, office_text), (pdf, pdf_text)):
         out.append(rows.filter(small & kind & ~plain).withColumn("r", _reader(of)("content")).select("*", "r.text", "r.reason").drop("r"))
     rest = rows.filter(~(small & (plain | office | pdf)))
-    binary = F.instr(F.hex(F.substring("content", 1, 4096)), "00") > 0
+    binary = F.contains(F.substring("content", 1, 4096), F.unhex(F.lit("00")))
     reason = F.when(~small, "intake limit exceeded").when(binary & (F.col("content_type") == "application/octet-stream"), "binary").otherwise("unsupported format")
     out.append(rest.withColumn("text", F.lit(None).cast("string")).withColumn("reason", reason))
     done = out[0]
