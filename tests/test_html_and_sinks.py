@@ -34,6 +34,11 @@ def test_visibility(page, visible, hidden):
     assert got["visible"] == visible and [x["text"] for x in got["hidden"]] == hidden
 
 
+@pytest.mark.parametrize("page, visible", [("<title>this and&amp</title>b", "this and&b"), ("<p>a &lt b &copy 1</p>", "a < b © 1"), ("<p>&amp;amp &am</p>", "&amp &am")])
+def test_references_without_a_semicolon(page, visible):
+    assert html.read(page)["visible"] == visible
+
+
 def test_hidden_reasons_and_inputs():
     got = html.read('<div hidden style="left:-9999px">a<u class=k>b</u></div><input TYPE="Hidden" value="token" name=n><input value=w><noscript>js off</noscript>')
     assert [(x["reason"], x["tag"]) for x in got["hidden"]] == [("hidden-attribute,css-hidden-inline", "div"), ("hidden-attribute,css-hidden-inline", "u")]
