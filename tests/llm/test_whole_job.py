@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilscope.llm import common, exact_dedup, language_id, mixing, packing, registry, token_counts
 
@@ -226,3 +227,27 @@ def test_queries_over_odd_tables(spark, tmp_path, name):
         assert sum(r["piece"] == 0 for r in rows) == n
     else:
         assert len(rows) == n
+
+
+@pytest.mark.parametrize("salts, digest", [(1, exact_dedup.sha256), (3, exact_dedup.sha256), (3, lambda c: F.length(c).cast("string"))])
+def test_whole_rows_that_stay(spark, salts, digest):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(40)]), "".join(rng.choices("ab ", k=rng.randint(0, 5))) if i % 9 else None, f"l{i}") for i in range(300)] + [(1000 + i, "hot  text", f"h{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    kept = [tuple(r) for r in exact_dedup.exact_dedup(df, salts=salts, digest=digest, whole=True).collect()]
+    best = {}
+    for k, t, _ in rows:
+        at = "".join((t or "").split())
+        best[at] = max(best.get(at, (-1, 0)), (len(t or ""), -math.inf if k is None else -k))
+    got = {"".join((t or "").split()): (len(t or ""), -math.inf if k is None else -k) for k, t, _ in kept}
+    assert got == best and len(kept) == len(best) and not set(kept) - set(rows)
+
+
+def test_exact_stage_combines_by_partition_by_salt_and_across_salts(spark):
+    docs = spark.createDataFrame([(i, "hot text" if i % 2 else f"text {i}", "x") for i in range(60)], SCHEMA).repartition(8)
+    out = exact_dedup.stage(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line and "digest" in line]
+    keys = [[k.split("#")[0].strip() for k in line.split(")")[0].split(",")[:-1]] for line in dealt]
+    assert keys == [["digest"], ["digest", "salt", "content"]]  # across salts, and before that by salt
+    assert plan.count("Aggregate(key=[digest") == 4 and out.count() == 31
